@@ -7,10 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, rules, simhash
+from . import langid, packing, rules, simhash
 from .common import documents
 
 
+def vocabulary() -> str:
+    """Place of the tokenizer file on the machine that asks."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 4096 tokens."""
+    return packing.pack_documents(documents(spark, sf_dir, "doc_id", "text"), vocabulary, end_id=2, size=4096)
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from the other folds' documents."""
     docs = documents(spark, sf_dir, "doc_id", "text", "lang").withColumn("held_out", langid.held_out())
@@ -32,6 +44,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": op1_packing,
     "op6_language": op6_language,
     "op7_simhash": op7_simhash,
     "op9_quality": op9_quality,
