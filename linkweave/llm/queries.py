@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, rules, simhash
+from . import langid, packing, rules, simhash, sketch
 from .common import documents
 
 
@@ -35,6 +35,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(documents(spark, sf_dir, "doc_id", "text"), distance=2, blocks=4, pair_limit=64, words=3)
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invertible sketches of all documents, beside an edited text and the next document."""
+    return sketch.compared(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents, learned from the labels of the other folds."""
     docs = documents(spark, sf_dir, "doc_id", "text")
@@ -47,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op6_language": op6_language,
     "op7_simhash": op7_simhash,
+    "op8_fingerprints": op8_fingerprints,
     "op9_quality": op9_quality,
 }
 
