@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, rules, simhash, sketch
+from . import langid, packing, rules, simhash, sketch, webp
 from .common import documents
 
 
@@ -23,6 +23,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir, "doc_id", "text"), vocabulary, end_id=2, size=4096)
 
 
+def op5_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents stored as lossless WebP images, read back and described."""
+    return webp.digests(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from the other folds' documents."""
     docs = documents(spark, sf_dir, "doc_id", "text", "lang").withColumn("held_out", langid.held_out())
@@ -50,6 +55,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op5_webp": op5_webp,
     "op6_language": op6_language,
     "op7_simhash": op7_simhash,
     "op8_fingerprints": op8_fingerprints,
