@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, rules, simhash, sketch, webp
+from . import chat, langid, mixing, packing, rules, simhash, sketch, webp
 from .common import documents
 
 
@@ -23,6 +23,19 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir, "doc_id", "text"), vocabulary, end_id=2, size=4096)
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations with their roles repaired at minimum cost, rendered."""
+    return chat.repaired(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where in the mixture each document is shown: every source up to one and a half times, all
+    documents at least once."""
+    got = mixing.mix(documents(spark, sf_dir, "doc_id", "text", "source"), mixing.Settings(repeats=1.5))
+    names = {"__epoch": "epoch", "__block": "block", "__tokens": "tokens", "__weight": "weight"}
+    return got.select("doc_id", "source", *[F.col(k).alias(v) for k, v in names.items()])
+
+
 def op5_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents stored as lossless WebP images, read back and described."""
     return webp.digests(documents(spark, sf_dir, "doc_id", "text"))
@@ -55,6 +68,8 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_chat": op2_chat,
+    "op4_mixing": op4_mixing,
     "op5_webp": op5_webp,
     "op6_language": op6_language,
     "op7_simhash": op7_simhash,
