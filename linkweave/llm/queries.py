@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, mixing, packing, rules, simhash, sketch, webp
+from . import chat, langid, mixing, packing, rules, simhash, sketch, substring, webp
 from .common import documents
 
 
@@ -28,6 +28,11 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.repaired(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the words of 50-word windows that an earlier document has too."""
+    return substring.digests(documents(spark, sf_dir, "doc_id", "text"), substring.Settings(window=50, period=31))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where in the mixture each document is shown: every source up to one and a half times, all
     documents at least once."""
@@ -69,6 +74,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_chat": op2_chat,
+    "op3_substring": op3_substring,
     "op4_mixing": op4_mixing,
     "op5_webp": op5_webp,
     "op6_language": op6_language,
@@ -77,4 +83,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_substring": r"""
+with split as (
+    select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents
+), placed as (
+    select doc_id, words, unnest(range(1, len(words) + 1)) as i from split
+), windows as (
+    select doc_id, i, words[i] as word,
+        case when i + 49 <= len(words) then array_to_string(words[i:i + 49], ' ') end as win
+    from placed
+), judged as (
+    select doc_id, i, word, coalesce(win is not null and min(doc_id) over (partition by win) < doc_id, false) as again
+    from windows
+), covered as (
+    select doc_id, i, word,
+        max(again::int) over (partition by doc_id order by i rows between 49 preceding and current row) as gone
+    from judged
+), kept as (
+    select doc_id, count(*) as n_words, sum(gone)::bigint as n_removed,
+        coalesce(string_agg(word, ' ' order by i) filter (where gone = 0), '') as text
+    from covered group by doc_id
+)
+select d.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_removed,
+    sha256(coalesce(k.text, '')) as kept_sha256
+from documents d left join kept k on d.doc_id = k.doc_id
+""",
+}
