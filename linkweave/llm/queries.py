@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, mixing, packing, rules, simhash, sketch, substring, webp
+from . import chat, langid, mixing, packing, rules, simhash, sketch, substring, suffixes, webp
 from .common import documents
 
 
@@ -71,6 +71,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.score(docs.withColumn("held_out", rules.fold() == 2), model, ("doc_id", "held_out"))
 
 
+def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes of 50-byte strings that an earlier document has too."""
+    return suffixes.removals(documents(spark, sf_dir, "doc_id", "text"), suffixes.Settings(length=50))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_chat": op2_chat,
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_simhash": op7_simhash,
     "op8_fingerprints": op8_fingerprints,
     "op9_quality": op9_quality,
+    "op10_suffixes": op10_suffixes,
 }
 
 ORACLES: dict[str, str] = {
@@ -108,5 +114,32 @@ with split as (
 select d.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_removed,
     sha256(coalesce(k.text, '')) as kept_sha256
 from documents d left join kept k on d.doc_id = k.doc_id
+""",
+    "op10_suffixes": r"""
+with raw as (
+    select doc_id, hex(encode(coalesce(text, ''))) as h, strlen(coalesce(text, '')) as n from documents
+), placed as (
+    select doc_id, n, h, unnest(range(1, n + 1)) as i from raw
+), windows as (
+    select doc_id, i, substr(h, 2 * i - 1, 2) as byte,
+        case when i + 49 <= n then substr(h, 2 * i - 1, 100) end as win
+    from placed
+), judged as (
+    select doc_id, i, byte, coalesce(win is not null and min(doc_id) over (partition by win) < doc_id, false) as again
+    from windows
+), covered as (
+    select doc_id, i, byte,
+        max(again::int) over (partition by doc_id order by i rows between 49 preceding and current row) as gone
+    from judged
+), edges as (
+    select *, gone = 1 and coalesce(lag(gone) over (partition by doc_id order by i), 0) = 0 as opens from covered
+), kept as (
+    select doc_id, sum(gone)::bigint as n_removed, sum(opens::int)::bigint as n_spans,
+        coalesce(string_agg(byte, '' order by i) filter (where gone = 0), '') as h
+    from edges group by doc_id
+)
+select r.doc_id, r.n as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
+    sha256(unhex(coalesce(k.h, ''))) as kept_sha256
+from raw r left join kept k on r.doc_id = k.doc_id
 """,
 }
