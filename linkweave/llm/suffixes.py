@@ -50,7 +50,7 @@ class Settings:
 
     length: int = 50
     gram: int = 24
-    block_bytes: int = 4 << 20
+    block_bytes: int = 1 << 20
     bucket_bytes: int = 12 << 20
     names: int = 1 << 14
 
