@@ -50,8 +50,8 @@ class Settings:
 
     length: int = 50
     gram: int = 24
-    block_bytes: int = 2 << 20
-    bucket_bytes: int = 3 << 20
+    block_bytes: int = 384 << 10
+    bucket_bytes: int = 4 << 20
     names: int = 1 << 14
 
 
