@@ -45,13 +45,15 @@ _SETTLED, _OPEN = 1, 2
 
 @dataclass(frozen=True)
 class Settings:
-    """block_bytes: text of a block, which is at least a document. names: of one minimizer, beyond
-    which its strings are named one by one."""
+    """block_bytes: text of a block, which is at least a document. bucket_bytes: what a holder is asked.
+    sort_bytes: text that it sorts at once. names: of one minimizer, beyond which its strings are
+    named one by one."""
 
     length: int = 50
     gram: int = 24
     block_bytes: int = 384 << 10
     bucket_bytes: int = 4 << 20
+    sort_bytes: int = 256 << 10
     names: int = 1 << 14
 
 
@@ -354,7 +356,8 @@ def _ask_sorted(n: int) -> Callable[[Block, dict], list[tuple[int, int, bytes]]]
             own = heads[part]
             first, end = block.first[own], block.last[own] + block.s.length
             strings = b"".join([block.text[a:b] for a, b in zip(first.tolist(), end.tolist(), strict=True)])
-            out.append((_SORTED, bucket, len(own).to_bytes(4, "little") + block.ids[block.doc[own]].astype("<i8").tobytes() + (end - first).astype("<u4").tobytes() + strings))
+            slot = (block.key[own] & np.uint64(0xFF)).astype(np.uint8)
+            out.append((_SORTED, bucket, len(own).to_bytes(4, "little") + block.ids[block.doc[own]].astype("<i8").tobytes() + (end - first).astype("<u4").tobytes() + slot.tobytes() + strings))
         pairs, least, _, _ = _singles(block, named.head[named.hot_pairs])
         return out + [(_SINGLE, bucket, _pairs_blob(pairs[part], least[part])) for bucket, part in _parts(pairs[:, 0], n)]
 
@@ -374,17 +377,36 @@ def _singles(block: Block, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def _answer_sorted(blobs: list[bytes], s: Settings) -> list[bytes]:
-    """A bit for each string of each run: whether a smaller id has it."""
-    ids, lens, strings, counts = [], [], [], []
+    """A bit for each string of each run: whether a smaller id has it.
+
+    Runs of one key have one slot, so a bucket is sorted slot by slot, in parts of about sort_bytes.
+    """
+    ids, lens, slots, strings, counts = [], [], [], [], []
     for b in blobs:
         n = int.from_bytes(b[:4], "little")
         ids.append(np.frombuffer(b, "<i8", n, 4))
         lens.append(np.frombuffer(b, "<u4", n, 4 + 8 * n).astype(np.int64))
-        strings.append(b[4 + 12 * n :])
+        slots.append(np.frombuffer(b, np.uint8, n, 4 + 12 * n))
+        strings.append(b[4 + 13 * n :])
         counts.append(n)
-    every = np.concatenate(lens)
-    again = repeated(b"".join(strings), every, np.concatenate(ids), s.length)
-    starts = np.concatenate([[0], np.cumsum(every - s.length + 1)])
+    owner, size, text = np.concatenate(ids), np.concatenate(lens), b"".join(strings)
+    del strings
+    order = np.argsort(np.concatenate(slots), kind="stable")
+    ends = np.cumsum(size)
+    starts = np.concatenate([[0], np.cumsum(size - s.length + 1)])
+    again = np.zeros(int(starts[-1]), bool)
+    total = np.cumsum(size[order])
+    slot_ends = np.flatnonzero(np.diff(np.concatenate(slots)[order], append=256)) + 1
+    at = 0
+    while at < len(order):
+        fits = slot_ends[(slot_ends > at) & (total[np.minimum(slot_ends, len(order)) - 1] - (total[at - 1] if at else 0) <= s.sort_bytes)]
+        to = int(fits[-1]) if len(fits) else int(slot_ends[slot_ends > at][0])
+        mine = order[at:to]
+        part = b"".join([text[a:b] for a, b in zip((ends[mine] - size[mine]).tolist(), ends[mine].tolist(), strict=True)])
+        found = repeated(part, size[mine], owner[mine], s.length)
+        many = size[mine] - s.length + 1
+        again[np.repeat(starts[mine] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))] = found
+        at = to
     edges = np.cumsum([0] + counts)
     return [np.packbits(again[starts[a] : starts[b]]).tobytes() for a, b in zip(edges, edges[1:], strict=False)]
 

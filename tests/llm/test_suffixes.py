@@ -71,7 +71,7 @@ def corpus(rnd, n):
     return list({d: (d, t) for d, t in rows}.values())
 
 
-@pytest.mark.parametrize("s", [Settings(block_bytes=3000, bucket_bytes=2000), Settings(block_bytes=1, bucket_bytes=9000, names=1), Settings(length=30, gram=9, block_bytes=20000, names=3)])
+@pytest.mark.parametrize("s", [Settings(block_bytes=3000, bucket_bytes=2000, sort_bytes=700), Settings(block_bytes=1, bucket_bytes=9000, names=1), Settings(length=30, gram=9, block_bytes=20000, names=3)])
 def test_matches_brute_force(spark, s):
     rnd = random.Random(5)
     rows = corpus(rnd, 90) + [(9000 + i, "same sentence " * 20) for i in range(5)] + [(9100, None), (9101, ""), (9102, "x" * 49), (9103, "x" * 50), (9104, "x" * 51), (9105, "y" * 3000), (9106, "é" * 25), (9107, "y" * 60)]
