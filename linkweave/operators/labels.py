@@ -16,8 +16,8 @@ def label(pairs: DataFrame, truth: DataFrame) -> DataFrame:
 
 def class_weight(labelled: DataFrame) -> DataFrame:
     """Add w: negatives per positive for positives, 1 for negatives."""
-    n = labelled.agg(F.sum("y").alias("p"), F.count("*").alias("n")).select(((F.col("n") - F.col("p")) / F.greatest(F.col("p"), F.lit(1))).alias("spw"))
-    return labelled.crossJoin(F.broadcast(n)).withColumn("w", F.when(F.col("y") == 1, F.col("spw")).otherwise(1.0)).drop("spw")
+    n = labelled.agg(F.coalesce(F.sum("y"), F.lit(0)).alias("p"), F.count("*").alias("n")).first()
+    return labelled.withColumn("w", F.when(F.col("y") == 1, float(n.n - n.p) / max(1, n.p)).otherwise(1.0))
 
 
 def same_country_negatives(s1: DataFrame, pool: DataFrame, n: int, seed: int) -> DataFrame:

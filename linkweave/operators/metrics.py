@@ -21,25 +21,25 @@ def f_beta(tp: Column, predicted: Column, truth: Column) -> Column:
     return F.when(truth == 0, F.when(predicted == 0, 1.0).otherwise(0.0)).otherwise(f)
 
 
-def thresholds(spark, first: int, last: int, step: int, scale: int) -> DataFrame:
-    """(thr): first, first + step, … last, over scale."""
-    return spark.range(first, last + 1, step).select((F.col("id") / F.lit(scale)).alias("thr"))
+def thresholds(first: int, last: int, step: int, scale: int) -> list[float]:
+    """first, first + step, … last, over scale."""
+    return [k / scale for k in range(first, last + 1, step)]
 
 
-def per_entity(scored: DataFrame, truth: DataFrame, spine: DataFrame, grid: DataFrame, restrict: bool = False) -> DataFrame:
-    """(thr, s1_id, predicted, tp, truth, f) for every entity of spine and threshold.
+def per_entity(scored: DataFrame, truth: DataFrame, spine: DataFrame, grid: list[float], restrict: bool = False) -> DataFrame:
+    """(thr, s1_id, predicted, tp, truth, f) for every entity of spine and threshold of an ascending grid.
 
     scored: (s1_id, cand_id, score). truth: distinct pairs, counted in full, or with restrict only
-    those that are candidates. spine: (s1_id); entities without candidates count, too.
+    those that are candidates. spine: (s1_id); entities without candidates count, too. An entity's
+    pairs are first counted by how many thresholds they pass, so the grid multiplies counts, not pairs.
     """
+    steps = F.array(*map(F.lit, grid))
     marked = scored.join(truth.withColumn("hit", F.lit(1)), ["s1_id", "cand_id"], "left")
     counted = marked.groupBy("s1_id").agg(F.count("hit").alias("known")) if restrict else truth.groupBy("s1_id").agg(F.count("*").alias("known"))
-    emitted = (
-        marked.join(F.broadcast(grid), F.col("score") >= F.col("thr"))
-        .groupBy("thr", "s1_id")
-        .agg(F.count("*").alias("predicted"), F.count("hit").alias("tp"))
-    )
-    rows = spine.select("s1_id").distinct().join(counted, "s1_id", "left").crossJoin(F.broadcast(grid))
+    passed = F.size(F.filter(steps, lambda t: t <= F.col("score")))
+    by_step = marked.groupBy("s1_id", passed.alias("passed")).agg(F.count("*").alias("predicted"), F.count("hit").alias("tp")).where("passed > 0")
+    emitted = by_step.select("s1_id", "predicted", "tp", F.explode(F.slice(steps, F.lit(1), F.col("passed"))).alias("thr")).groupBy("thr", "s1_id").agg(F.sum("predicted").alias("predicted"), F.sum("tp").alias("tp"))
+    rows = spine.select("s1_id").distinct().join(counted, "s1_id", "left").select("*", F.explode(steps).alias("thr"))
     full = rows.join(emitted, ["thr", "s1_id"], "left").select("thr", "s1_id", *[F.coalesce(c, F.lit(0)).alias(k) for c, k in (("predicted", "predicted"), ("tp", "tp"), ("known", "truth"))])
     return full.withColumn("f", f_beta(F.col("tp"), F.col("predicted"), F.col("truth")))
 

@@ -23,7 +23,7 @@ def one_to_one(scored: DataFrame) -> DataFrame:
 
     An aggregation to a maximum, so a pool entity with many pairs is not gathered.
     """
-    best = scored.groupBy("cand_id").agg(F.max_by(F.struct("s1_id", "score"), F.struct("score", F.transform(F.split("s1_id", ""), lambda ch: -F.ascii(ch)))).alias("b"))
+    best = scored.groupBy("cand_id").agg(F.min(F.struct((-F.col("score")).alias("worse"), F.col("s1_id"), F.col("score"))).alias("b"))
     return best.select("b.s1_id", "cand_id", "b.score")
 
 

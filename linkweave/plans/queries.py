@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fuzzy, sampling
@@ -306,14 +306,16 @@ _FEATURE_SQL = {
     "first_tok_eq": "(x.n <> '' and string_split(x.n, ' ')[1] = string_split(y.n, ' ')[1])::int::double",
     "addr_pref2_eq": "(length(x.a) >= 2 and length(y.a) >= 2 and x.a[1:2] = y.a[1:2])::int::double",
     "addr_pref5_eq": "(length(x.a) >= 5 and length(y.a) >= 5 and x.a[1:5] = y.a[1:5])::int::double",
-    "lognum_sim": r"coalesce(least(ln(1 + regexp_extract_all(x.a, '\d{2,}')[1]::double), ln(1 + regexp_extract_all(y.a, '\d{2,}')[1]::double)) / greatest(ln(1 + regexp_extract_all(x.a, '\d{2,}')[1]::double), ln(1 + regexp_extract_all(y.a, '\d{2,}')[1]::double)), 0)",
+    "lognum_sim": "case when len(x.tm) = 0 or len(y.tm) = 0 then 0 else least({0}, {1}) / greatest({0}, {1}) end".format(
+        *(rf"ln(1 + regexp_extract_all({k}.a, '\d{{2,}}')[1]::double)" for k in "xy")
+    ),
     "a_lendiff": "abs(length(x.a) - length(y.a))::double / (length(x.a) + length(y.a) + 1)",
 }
 _LISTS = "wide as (select *, list_filter(list_distinct(string_split(n, ' ')), lambda w: w <> '') as nt, list_filter(list_distinct(string_split(a, ' ')), lambda w: w <> '') as at from prep)"
 
 
 @query(f"with {S.PREPARED}, {_LISTS}, {S.eval_pairs(NEGATIVES, SEED)} select s1_id, cand_id, ep.y, "
-       + ", ".join(f"round({e}, 5) as {k}" for k, e in _FEATURE_SQL.items())
+       + ", ".join(f"round(({e})::float::double, 5) as {k}" for k, e in _FEATURE_SQL.items())
        + " from ep join wide x on x.entity_id = s1_id join wide y on y.entity_id = cand_id")
 def features_native(spark, sf):
     """The pair features that are plain expressions, on true and drawn pairs."""
@@ -408,7 +410,7 @@ def group_split(spark, sf):
 
 def _swept(spark, sf, restrict=False):
     s1, pool = _sides(spark, sf)
-    grid = metrics.thresholds(spark, 0, 100, 5, 100)
+    grid = metrics.thresholds(0, 100, 5, 100)
     spine = s1.select(F.col("entity_id").alias("s1_id"))
     return metrics.per_entity(_scored(s1, pool), _truth(s1, pool).distinct(), spine, grid, restrict)
 
@@ -512,7 +514,7 @@ def assemble_lists(spark, sf):
 
 
 @query(f"""with {S.ENTITIES}, rows as (
-    select entity_id as key, case when row_number() over (order by entity_id) % 7 = 0 then null when row_number() over (order by entity_id) % 5 = 0 then 'S1-0,S2-x,S2-x,Q9' else 'S2-1' end as ids from ent where src = 'S1'
+    select entity_id as key, case when {S.unit('entity_id', 9)} < 0.15 then null when {S.unit('entity_id', 9)} < 0.35 then 'S1-0,S2-x,S2-x,Q9' else 'S2-1' end as ids from ent where src = 'S1'
     union all select min(entity_id), '' from ent where src = 'S1' union all select 'S1-new', ''
 ), ex as (select key, unnest(string_split(ids, ',')) as id from rows where ids is not null and ids <> ''), known as (select entity_id as id from ent where src <> 'S1'),
 f as (
@@ -528,9 +530,8 @@ f as (
 def validate_results(spark, sf):
     """Findings on a result table with every kind of fault."""
     s1, pool = _sides(spark, sf)
-    # numbered over ids only, to place the faults
-    i = F.row_number().over(Window.orderBy("entity_id"))
-    made = s1.select(F.col("entity_id").alias("key"), F.when(i % 7 == 0, F.lit(None)).when(i % 5 == 0, "S1-0,S2-x,S2-x,Q9").otherwise("S2-1").alias("ids"))
+    u = sampling.unit(F.col("entity_id"), 9)
+    made = s1.select(F.col("entity_id").alias("key"), F.when(u < 0.15, F.lit(None)).when(u < 0.35, "S1-0,S2-x,S2-x,Q9").otherwise("S2-1").alias("ids"))
     made = made.unionByName(s1.agg(F.min("entity_id").alias("key")).withColumn("ids", F.lit(""))).unionByName(spark.createDataFrame([("S1-new", "")], "key string, ids string"))
     return validate.lists(made, pool.select(F.col("entity_id").alias("id")), s1.select(F.col("entity_id").alias("id")))
 
