@@ -112,12 +112,13 @@ def _context(p: np.ndarray, n: int, s: Settings) -> tuple[np.ndarray, np.ndarray
 
 
 def _occurrences(docs: DataFrame, s: Settings) -> DataFrame:
-    """(key, context, doc_id, at, first, last) for each anchor; documents without a window have none."""
+    """(key, context, doc_id, reach) for each anchor; documents without a window have none. reach: the
+    first and the last start of the windows that hold the anchor, in one number."""
     cover = difference_cover(s.period)
     span = s.window - s.period + 1
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        parts: list[list[np.ndarray]] = [[] for _ in range(6)]
+        parts: list[list[np.ndarray]] = [[] for _ in range(4)]
         for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
             if text is None or len(text) < 2 * s.window - 1:
                 continue
@@ -130,14 +131,13 @@ def _occurrences(docs: DataFrame, s: Settings) -> DataFrame:
             end = last + s.window
             # where the anchor lies in its context belongs to the context
             context = _mix(of(first, end) + (p - first).astype(np.uint64) * np.uint64(_BASES[1]) + (end - first).astype(np.uint64) * np.uint64(_WORD_BASE))
-            for out, col in zip(parts, (of(p, p + span).view(np.int64), context.view(np.int64), np.full(len(p), doc_id), p, first, last), strict=True):
+            for out, col in zip(parts, (of(p, p + span).view(np.int64), context.view(np.int64), np.full(len(p), doc_id), first << 32 | last), strict=True):
                 out.append(col)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-        columns = [pa.array(np.concatenate(c) if c else [], k) for c, k in zip(parts, kinds, strict=True)]
-        return pa.RecordBatch.from_arrays(columns, ["key", "context", "doc_id", "at", "first", "last"])
+        columns = [pa.array(np.concatenate(c) if c else [], pa.int64()) for c in parts]
+        return pa.RecordBatch.from_arrays(columns, ["key", "context", "doc_id", "reach"])
 
     usable = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
-    return usable.mapInArrow(batched(run, 4 << 20), "key long, context long, doc_id long, at int, first int, last int")
+    return usable.mapInArrow(batched(run, 4 << 20), "key long, context long, doc_id long, reach long")
 
 
 def _single_windows(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
@@ -172,20 +172,21 @@ def repeats(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     Documents without such words have no row.
     """
     found = _occurrences(docs, s)
-    shared = found.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("key", "least")
-    shared = materialize(shared, "anchors")
-    # an anchor in its least document can't repeat, but its windows are what others repeat
-    met = materialize(found.join(shared, "key"), "met").drop("least")
-    contexts = met.groupBy("key", "context").agg(F.min("doc_id").alias("owner"))
-    several = contexts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    # rows of a context that has an earlier document are settled; the owners' are open
-    owned = met.join(contexts, ["key", "context"])
-    settled = owned.where("owner < doc_id").select("doc_id", "first", (F.col("last") + s.window).alias("end"))
-    open_rows = owned.where("owner = doc_id").join(several, "key", "left_semi").select("doc_id", "first", "last")
-    wanted = materialize(_merged(open_rows, "first", "last"), "open")
+    # aggregates are written before they are joined: both sides of each join are then plain
+    # shuffles, whose large partitions Spark can split
+    shared = found.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("key")
+    met = materialize(found.join(materialize(shared, "anchors"), "key"), "met")
+    owners = met.groupBy("key", "context").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("z")).where("owner < z").drop("z")
+    several = met.groupBy("key").agg(F.min("context").alias("a"), F.max("context").alias("z")).where("a < z").select("key")
+    marked = met.join(materialize(owners, "contexts"), ["key", "context"], "left")
+    first, last = F.shiftright("reach", 32).cast("int"), F.col("reach").bitwiseAND(0xFFFFFFFF).cast("int")
+    settled = marked.where("owner < doc_id").select("doc_id", first.alias("first"), (last + s.window).alias("end"))
+    # what no earlier document has in full: the windows are looked at one by one, if any can differ
+    left = marked.where("owner is null or owner >= doc_id").join(materialize(several, "several"), "key", "left_semi")
+    wanted = materialize(_merged(left.select("doc_id", first.alias("first"), last.alias("last")), "first", "last"), "open")
     windows = materialize(_single_windows(docs, wanted, s), "windows")
-    least = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("most")).where("owner < most").drop("most")
-    single = windows.join(least, ["h1", "h2"]).where("owner < doc_id").select("doc_id", F.col("at").alias("first"), (F.col("at") + s.window).alias("end"))
+    least = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("z")).where("owner < z").drop("z")
+    single = windows.join(materialize(least, "least"), ["h1", "h2"]).where("owner < doc_id").select("doc_id", F.col("at").alias("first"), (F.col("at") + s.window).alias("end"))
     return _merged(settled.unionByName(single), "first", "end")
 
 
