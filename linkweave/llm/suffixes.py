@@ -582,8 +582,8 @@ def removals(docs: DataFrame, s: Settings = Settings(), keep_text: bool = False)
     made.write.bucketBy(n_files, "block").saveAsTable(table)
     blocks = spark.table(table)
     text_bytes = blocks.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    # a bucket's questions take about half of the text's bytes
-    n = max(2, -(-text_bytes // (2 * s.bucket_bytes)))
+    # a bucket's questions take about half of the text's bytes; as many buckets as tasks, at least
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-text_bytes // (2 * s.bucket_bytes)))
 
     shared = _round(blocks, [], _ask_shared(n), lambda kind, b: _answer_shared(b), s, "shared")
     named = _round(blocks, [shared], _ask_named(n), lambda kind, b: _answer_named(b, s.names), s, "named")
