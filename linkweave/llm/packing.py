@@ -9,6 +9,7 @@ finds the first bin that has space for a piece in logarithmic time.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Callable, Iterable
 
@@ -52,21 +53,28 @@ def first_fit_decreasing(lengths: Iterable[int], capacity: int) -> tuple[list[in
     return bins, offsets
 
 
-class _Words:
-    """Token ids of white-space separated words, as little-endian unsigned 32-bit bytes.
+#: a run of ASCII marks but the apostrophe between an ASCII letter and white space
+_TRAILING = re.compile(rb"([a-z])([!-&(-/:-@\[-`{-~]+)(?=[\x20\x09-\x0D]|$)")
 
-    A worker keeps one per tokenizer. The tokenizer drops white space and lets no token cross it,
-    so a text's ids are its words' ids in order; likewise a leading run of letters is a match of
-    its own where only ASCII follows, which nothing can compose with.
+
+class _Words(dict):
+    """Token ids of white-space separated words, as little-endian unsigned 32-bit bytes; a word is
+    tokenized when it is first asked for. A worker keeps one per tokenizer.
+
+    The tokenizer drops white space and lets no token cross it, so a text's ids are its words' ids in
+    order. It lower-cases, and takes letters and marks for different pieces, so ASCII is lowered and
+    trailing marks become words of their own first; not where a special token may be written out.
     """
 
     kept: dict[str, _Words] = {}
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.ids = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
 
     @classmethod
     def at(cls, path: str) -> _Words:
@@ -74,27 +82,25 @@ class _Words:
             cls.kept[path] = cls(path)
         return cls.kept[path]
 
-    def _learn(self, missing: list[bytes]) -> None:
-        plain = [m.decode() for m in missing]
-        got = self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)
-        self.ids.update(zip(missing, (np.array(g.ids, "<u4").tobytes() for g in got), strict=True))
+    def __missing__(self, word: bytes) -> bytes:
+        if word.isalpha() and word.islower():  # ASCII letters: one piece, as it is
+            ids = [t.id for t in self.model.tokenize(word.decode())]
+        else:
+            ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
+        self[word] = found = np.array(ids, "<u4").tobytes()
+        return found
 
     def of(self, docs: list[bytes | None]) -> list[bytes]:
         """The ids of each text."""
-        split = [(d or b"").split() for d in docs]
-        if len(self.ids) > CACHE_WORDS:
-            self.ids.clear()
-        missing = set().union(*split).difference(self.ids) if split else set()
-        heads = {}
-        for word in missing:
-            core = word.rstrip(b"0123456789!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
-            if core and len(core) < len(word) and core.decode().isalpha():
-                heads[word] = (core, word[len(core) :])
-        parts = {p for pair in heads.values() for p in pair} | missing.difference(heads)
-        self._learn(list(parts.difference(self.ids)))
-        self.ids.update((w, self.ids[a] + self.ids[b]) for w, (a, b) in heads.items())
-        look = self.ids.__getitem__
-        return [b"".join(map(look, words)) for words in split]
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        look, out = self.__getitem__, []
+        for text in docs:
+            text = text or b""
+            if b"<|" not in text:
+                text = _TRAILING.sub(rb"\1 \2", text.lower())
+            out.append(b"".join(map(look, text.split())))
+        return out
 
 
 def pieces(docs: DataFrame, tokenizer: Callable[[], str], end_id: int = 2, size: int = 4096) -> DataFrame:
