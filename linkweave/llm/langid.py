@@ -205,8 +205,8 @@ def classify(texts: list[str | None], m: Model) -> tuple[list[str], np.ndarray,
     return pred, score, accepted
 
 
-def predict(docs: DataFrame, m: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The keep columns of docs, then lang_pred, score (0 to 1) and accepted.
+def predict(docs: DataFrame, m: Model, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str, str] = ("lang_pred", "score", "accepted")) -> DataFrame:
+    """The keep columns of docs, then lang_pred, score (0 to 1) and accepted, or under other names.
 
     Null text, or text without a letter: `und`, 0, not accepted. Letters but no subword (one
     letter between edges counts as one): the bias decides. Repeated rows each come back; no rows:
@@ -217,7 +217,9 @@ def predict(docs: DataFrame, m: Model, keep: tuple[str, ...] = ("doc_id",)) -> D
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         pred, score, accepted = classify(batch.column(0).to_pylist(), shared.value)
-        return pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(pred, pa.string()), pa.array(score), pa.array(accepted)], [*batch.schema.names[1:], "lang_pred", "score", "accepted"])
+        return pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(pred, pa.string()), pa.array(score), pa.array(accepted)], [*batch.schema.names[1:], *names])
 
-    out = schema.add("lang_pred", "string").add("score", "double").add("accepted", "boolean")
+    out = schema
+    for name, kind in zip(names, ("string", "double", "boolean"), strict=True):
+        out = out.add(name, kind)
     return docs.select(F.col("text").alias("__text"), *keep).mapInArrow(batched(run, 2 << 20), out)

@@ -125,15 +125,16 @@ def mix(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     columns = docs.columns
     sized = docs.withColumn("__tokens", tokens(F.col("text")))
     sums = materialize(totals(sized.select("source", F.col("__tokens").alias("tokens"))), "sources")
-    plan = materialize(weights(sums, s), "weights").select(F.col("source").alias("__source"), "total", "rows", "weight", "epochs", "blocks")
+    plan = materialize(weights(sums, s), "weights")
+    plan = plan.select(*[F.col(c).alias(f"__{c}") for c in ("source", "total", "rows", "weight", "epochs", "blocks")])  # docs may have such columns
     # the sources' table is small next to the rows; Spark broadcasts it only if its size allows
     joined = sized.join(plan, F.col("source").eqNullSafe(F.col("__source")), "left")
     u = F.xxhash64(F.lit(s.seed), F.col("__epoch"), F.col("doc_id"), F.xxhash64("text"))
     shown = (
-        joined.withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil("epochs").cast("int") - 1))))
-        .where(F.col("epochs") > 0)
+        joined.withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil("__epochs").cast("int") - 1))))
+        .where(F.col("__epochs") > 0)
         .withColumn("__u", u)
-        .withColumn("__range", F.floor((F.col("__u") / F.lit(2.0**64) + 0.5) * F.ceil(F.col("rows") / s.range_rows)))
+        .withColumn("__range", F.floor((F.col("__u") / F.lit(2.0**64) + 0.5) * F.ceil(F.col("__rows") / s.range_rows)))
     )
     key = ["__source", "__epoch", "__range"]
     sums_of_ranges = shown.groupBy(*key).agg(F.sum("__tokens").alias("__sum"))
@@ -142,7 +143,7 @@ def mix(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     same = F.col("__source").eqNullSafe(F.col("__source0")) & (F.col("__epoch") == F.col("__epoch0")) & (F.col("__range") == F.col("__range0"))
     within = W.partitionBy(*key).orderBy("__u", "doc_id").rowsBetween(W.unboundedPreceding, -1)
     placed = shown.withColumn("__within", F.coalesce(F.sum("__tokens").over(within), F.lit(0))).join(starts, same)
-    t = F.col("__epoch") + (F.col("__before") + F.col("__within")) / F.col("total")
-    done = placed.withColumn("__t", F.least(t, F.col("__epoch") + F.lit(1.0 - 1e-12))).where(F.col("__t") < F.col("epochs"))
-    block = F.least(F.floor(F.col("__t") / F.col("epochs") * F.col("blocks")), F.col("blocks") - 1)
-    return done.select(*columns, F.col("__epoch"), block.alias("__block"), F.col("__tokens"), F.col("weight").alias("__weight"))
+    t = F.col("__epoch") + (F.col("__before") + F.col("__within")) / F.col("__total")
+    done = placed.withColumn("__t", F.least(t, F.col("__epoch") + F.lit(1.0 - 1e-12))).where(F.col("__t") < F.col("__epochs"))
+    block = F.least(F.floor(F.col("__t") / F.col("__epochs") * F.col("__blocks")), F.col("__blocks") - 1)
+    return done.select(*columns, F.col("__epoch"), block.alias("__block"), F.col("__tokens"), F.col("__weight"))

@@ -207,7 +207,8 @@ def cover(n: int, spans: np.ndarray) -> np.ndarray:
 
 
 def _cut(docs: DataFrame, s: Settings) -> DataFrame:
-    found = repeats(docs, s).withColumnRenamed("doc_id", "__doc_id")
+    """docs with __spans; docs may have columns of any other names."""
+    found = repeats(docs, s).select(F.col("doc_id").alias("__doc_id"), F.col("spans").alias("__spans"))
     return docs.join(found, F.col("doc_id").cast("long") == F.col("__doc_id"), "left").drop("__doc_id")
 
 
@@ -234,7 +235,7 @@ def digests(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    joined = _cut(docs.select("doc_id", "text"), s).select("doc_id", "text", "spans")
+    joined = _cut(docs.select("doc_id", "text"), s).select("doc_id", "text", "__spans")
     return joined.mapInArrow(batched(run), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
 
 
@@ -257,7 +258,7 @@ def dedup(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
     rest = [c for c in columns if c != "text"]
     schema = docs.select("text", *rest).schema
-    cut = _cut(docs, s).select("text", "spans", *rest).mapInArrow(batched(run), schema)
+    cut = _cut(docs, s).select("text", "__spans", *rest).mapInArrow(batched(run), schema)
     if "n_chars" in columns:
         cut = cut.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return cut.select(*columns)

@@ -55,3 +55,31 @@ def test_repeated_and_null_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = corpus_pipeline.drop_near_copies(spark, docs, "")
     assert sorted(str(r.doc_id) for r in got.collect()) == ["1", "None"]
+
+
+def test_columns_of_any_name(spark):
+    from pyspark.sql import functions as F
+
+    names = ["total", "rows", "weight", "epochs", "blocks", "spans", "score", "accepted", "n", "key", "tokens", "fp", "least", "label", "component_id", "length", "ids", "owner"]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    odd = docs.select("*", *[F.lit(i).alias(c) for i, c in enumerate(names)]).cache()
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        plain, got = stage(spark, docs, ""), stage(spark, odd, "")
+        assert got.columns == odd.columns
+        assert sorted(map(tuple, got.select(*COLUMNS).collect())) == sorted(map(tuple, plain.collect()))
+    assert corpus_pipeline.STAGES[-1][1](spark, odd, "").count() >= 60
+
+
+def test_empty_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, "").collect() == []
+
+
+def test_nulls_everywhere(spark):
+    rows = [(None, None, None, None, None), (1, None, "en", None, None), (2, "some words here", None, "s", 15), (None, "other words there", "en", "s", None), (3, "", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, "")
+        assert got.columns == COLUMNS and got.collect() is not None
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == 5
