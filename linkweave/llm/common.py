@@ -54,6 +54,14 @@ def forget(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def settle(df: DataFrame, name: str, *used: DataFrame) -> DataFrame:
+    """Materialize df and delete the tables it was made of."""
+    out = materialize(df, name)
+    for table in used:
+        forget(table)
+    return out
+
+
 def batched(
     f: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]], max_bytes: int = 8 << 20
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batched, materialize, texts
+from .common import batched, materialize, settle, texts
 
 _BYTE = np.random.default_rng(50).integers(0, 1 << 64, 256, np.uint64)
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
@@ -175,19 +175,23 @@ def repeats(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     # aggregates are written before they are joined: both sides of each join are then plain
     # shuffles, whose large partitions Spark can split
     shared = found.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("key")
-    met = materialize(found.join(materialize(shared, "anchors"), "key"), "met")
+    shared = materialize(shared, "anchors")
+    met = settle(found.join(shared, "key"), "met", shared)
     owners = met.groupBy("key", "context").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("z")).where("owner < z").drop("z")
+    owners = materialize(owners, "contexts")
     several = met.groupBy("key").agg(F.min("context").alias("a"), F.max("context").alias("z")).where("a < z").select("key")
-    marked = met.join(materialize(owners, "contexts"), ["key", "context"], "left")
+    several = materialize(several, "several")
+    marked = met.join(owners, ["key", "context"], "left")
     first, last = F.shiftright("reach", 32).cast("int"), F.col("reach").bitwiseAND(0xFFFFFFFF).cast("int")
     settled = marked.where("owner < doc_id").select("doc_id", first.alias("first"), (last + s.window).alias("end"))
     # what no earlier document has in full: the windows are looked at one by one, if any can differ
-    left = marked.where("owner is null or owner >= doc_id").join(materialize(several, "several"), "key", "left_semi")
+    left = marked.where("owner is null or owner >= doc_id").join(several, "key", "left_semi")
     wanted = materialize(_merged(left.select("doc_id", first.alias("first"), last.alias("last")), "first", "last"), "open")
-    windows = materialize(_single_windows(docs, wanted, s), "windows")
+    windows = settle(_single_windows(docs, wanted, s), "windows", wanted)
     least = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("z")).where("owner < z").drop("z")
-    single = windows.join(materialize(least, "least"), ["h1", "h2"]).where("owner < doc_id").select("doc_id", F.col("at").alias("first"), (F.col("at") + s.window).alias("end"))
-    return _merged(settled.unionByName(single), "first", "end")
+    least = materialize(least, "least")
+    single = windows.join(least, ["h1", "h2"]).where("owner < doc_id").select("doc_id", F.col("at").alias("first"), (F.col("at") + s.window).alias("end"))
+    return settle(_merged(settled.unionByName(single), "first", "end"), "spans", met, owners, several, windows, least)
 
 
 def _merged(rows: DataFrame, first: str, end: str) -> DataFrame:
