@@ -19,7 +19,7 @@ one by one instead, as runs are in step 2, which is exact as well.
 
 Documents are kept in blocks, in a table bucketed by block. A block asks the holders of its
 minimizers with packed arrays in which every key comes once, and gets back a few bits for each
-key, so text is written once and never shuffled, and hot keys cost a holder one entry per block.
+key, so text is shuffled once, into that table, and hot keys cost a holder one entry per block.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, texts
+from .common import materialize, settle, texts
 
 _BASE, _OTHER = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 _BYTES = {b: np.random.default_rng(b & 0xFFFF).integers(0, 1 << 64, 256, np.uint64) for b in (_BASE, _OTHER)}
@@ -576,10 +576,11 @@ def removals(docs: DataFrame, s: Settings = Settings(), keep_text: bool = False)
     """
     spark = docs.sparkSession
     made = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_make_blocks(s), "block long, ids array<long>, ends array<long>, text binary")
-    # with as many buckets as shuffles have partitions, Spark deals answers out by bucket
-    n_files = min(100_000, max(docs.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    # with as many buckets as shuffles have partitions, Spark deals answers out by bucket; blocks are
+    # dealt out before, so that a bucket is a file
+    n_files = min(100_000, max(2 * docs.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions"))))
     table = f"linkweave_blocks_{uuid.uuid4().hex}"
-    made.write.bucketBy(n_files, "block").saveAsTable(table)
+    made.repartition(n_files, "block").write.bucketBy(n_files, "block").saveAsTable(table)
     blocks = spark.table(table)
     text_bytes = blocks.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # a bucket's questions take about half of the text's bytes; as many buckets as tasks, at least
@@ -600,7 +601,9 @@ def removals(docs: DataFrame, s: Settings = Settings(), keep_text: bool = False)
                     yield _result(ids, block, gone, keep_text)
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_text else "")
-    return _with_answers(blocks, known).mapInArrow(run, schema)
+    out = settle(_with_answers(blocks, known).mapInArrow(run, schema), "removals", *known)
+    spark.sql(f"drop table {table}")
+    return out
 
 
 def _result(ids: pa.Array, block: Block, gone: np.ndarray, keep_text: bool) -> pa.RecordBatch:
