@@ -1,4 +1,4 @@
-"""Text expressions: Column in, Column out, all on the JVM but for the exact accent fold.
+"""Text expressions: Column in, Column out, all on the JVM.
 
 Null counts as an empty text unless a function says otherwise. Regular expressions are Unicode
 aware, so words and digits of any script count.
@@ -10,10 +10,8 @@ import sys
 import unicodedata
 from functools import cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # ASCII punctuation, by its four ranges.
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
@@ -76,57 +74,62 @@ def strip_suffix_short(c: Column) -> Column:
     return _tidy(F.regexp_replace(_text(c), rf"(?U)\b({LEGAL_FORMS_SHORT})\b", " "))
 
 
+def _folded(ch: str) -> str:
+    return "".join(x for x in unicodedata.normalize("NFD", ch) if not unicodedata.combining(x))
+
+
 @cache
-def _folding() -> tuple[str, str, str]:
-    """Code points whose decomposition without combining marks is one code point (from, to), and
-    those where it is none."""
-    single, to, gone = [], [], []
-    for i in range(sys.maxunicode + 1):
-        ch = chr(i)
-        if 0xD800 <= i < 0xE000 or 0xAC00 <= i < 0xD7A4 or i > 0xFFFF:
+def _folding() -> tuple[str, str, str, dict[str, str]]:
+    """Code points that become one other (from, to), those that vanish, and those that become several;
+    Hangul syllables are left to arithmetic."""
+    single, to, gone, several = [], [], [], {}
+    for i in range(0x80, sys.maxunicode + 1):
+        if 0xD800 <= i < 0xE000 or 0xAC00 <= i < 0xD7A4:
             continue
-        folded = "".join(x for x in unicodedata.normalize("NFD", ch) if not unicodedata.combining(x))
+        ch = chr(i)
+        folded = _folded(ch)
         if folded == ch:
             continue
-        if len(folded) == 1 and ord(folded) < 0x10000:
+        if len(folded) == 1:
             single.append(ch)
             to.append(folded)
         elif not folded:
             gone.append(ch)
-    return "".join(single), "".join(to), "".join(gone)
+        else:
+            several[ch] = folded
+    return "".join(single), "".join(to), "".join(gone), several
 
 
-def fold_fast(c: Column) -> Column:
-    """Accents dropped by translation. Exact but for code points that decompose into several (Hangul
-    and a few dozen others) and those beyond the basic plane."""
-    single, to, gone = _folding()
-    return F.translate(c, single + gone, to)
+def _class(chars: str) -> str:
+    return "".join(rf"\x{{{ord(ch):X}}}" for ch in chars)
 
 
-def _fold(s: str | None) -> str | None:
-    return None if s is None else "".join(x for x in unicodedata.normalize("NFD", s) if not unicodedata.combining(x))
+def _jamo(ch: Column) -> Column:
+    """A Hangul syllable's letters."""
+    at = F.ascii(ch) - 0xAC00
 
+    def letter(first: int, n: int, index: Column) -> Column:
+        return F.get(F.split(F.lit(" ".join(chr(first + k) for k in range(n))), " "), index.cast("int"))
 
-@F.pandas_udf(T.StringType())
-def _fold_all(s: pd.Series) -> pd.Series:
-    return s.map(_fold)
+    tail = at % 28
+    return F.concat(letter(0x1100, 19, F.floor(at / 588)), letter(0x1161, 21, F.floor(at % 588 / 28)), F.when(tail > 0, letter(0x11A8, 27, tail - 1)).otherwise(""))
 
 
 def fold(c: Column) -> Column:
     """Canonical decomposition without combining marks, whatever the script; null stays null.
 
-    ASCII, and text in which translation is exact, never leaves the JVM.
+    Code points that become one other, or none, are translated. Only texts with one that becomes
+    several, or with Hangul, are taken apart first.
     """
-    plain = c.isNull() | ~c.rlike(r"[^\x00-\x{17F}]")
-    return F.when(plain, F.translate(c, *_latin())).otherwise(_fold_all(F.when(~plain, c)))
+    single, to, gone, several = _folding()
+    pairs = F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in several.items())), F.lit("\x01"), F.lit("\x02"))
 
+    def apart(ch: Column) -> Column:
+        return F.when(ch.between("\uac00", "\ud7a3") & (F.octet_length(ch) == 3), _jamo(ch)).otherwise(F.coalesce(F.try_element_at(pairs, ch), ch))
 
-@cache
-def _latin() -> tuple[str, str]:
-    """The folding up to the end of Latin Extended-A."""
-    single, to, gone = _folding()
-    pairs = [(a, b) for a, b in zip(single, to, strict=True) if ord(a) < 0x180]
-    return "".join(a for a, _ in pairs) + "".join(x for x in gone if ord(x) < 0x180), "".join(b for _, b in pairs)
+    taken = F.array_join(F.transform(F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0)), apart), "")
+    whole = F.when(c.rlike(rf"[\x{{AC00}}-\x{{D7A3}}{_class(''.join(several))}]"), taken).otherwise(c)
+    return F.translate(whole, single + gone, to)
 
 
 def words(c: Column) -> Column:

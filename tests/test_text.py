@@ -34,9 +34,13 @@ def test_norms(spark):
 
 def test_fold(spark):
     assert values(spark, X.fold) == [py_fold(t) for t in TEXTS]
-    latin = [i for i, t in enumerate(TEXTS) if t is None or "한" not in t]
-    fast = values(spark, X.fold_fast)
-    assert [fast[i] for i in latin] == [py_fold(TEXTS[i]) for i in latin]
+
+
+def test_fold_of_every_code_point(spark):
+    points = [chr(i) for i in range(1, 0x110000) if not 0xD800 <= i < 0xE000]
+    texts = ["a" + "".join(points[i : i + 200]) + "é" for i in range(0, len(points), 200)]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", X.fold(F.col("t")).alias("v")).orderBy("i").collect()
+    assert [r.v for r in got] == [py_fold(t) for t in texts]
 
 
 def test_suffixes(spark):
