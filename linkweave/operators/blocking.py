@@ -35,6 +35,10 @@ class Blocking:
     solo_only: bool = False
 
 
+#: what blocking needs of a prepared entity
+PREPARED = ("entity_id", "country", "fk", "tn", "ta", "tm")
+
+
 def prepare(e: DataFrame) -> DataFrame:
     """Entities with their normalized name, folded key and token lists."""
     name = X.norm(F.col("name"))
@@ -152,7 +156,13 @@ def greedy(evidence_column: Column, budget: int | Column, most: int | Column | N
 
 def candidates(s1: DataFrame, pool: DataFrame, b: Blocking = Blocking()) -> DataFrame:
     """(s1_id, cand_id) for entity tables; an entity with no admissible key has no row."""
-    found = keyed(evidence(prepare(s1), prepare(pool), b))
+    return candidates_of(prepare(s1), prepare(pool), b)
+
+
+def candidates_of(query: DataFrame, rest: DataFrame, b: Blocking = Blocking()) -> DataFrame:
+    """The same for prepared tables. Both are gone through several times; on large data write them
+    first, so that texts are read and taken apart once."""
+    found = keyed(evidence(query, rest, b))
     return found.select("s1_id", F.explode(greedy(F.col("evidence"), b.budget)).alias("cand_id"))
 
 

@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Beta squared of F0.5, and the share of query entities that have a match in production.
 BETA2 = 0.25
-#: share of query entities that have a match, in production
 MATCHED_SHARE = 0.9442
 
 

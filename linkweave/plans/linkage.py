@@ -66,10 +66,16 @@ def load(spark: SparkSession, paths: list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, [E.entities(E.read_tsv(spark, p)) for p in paths])
 
 
+def _candidates(spark: SparkSession, s1: DataFrame, pool: DataFrame, out: str, b: B.Blocking) -> DataFrame:
+    """Candidates by way of prepared tables, so that texts are taken apart once."""
+    query, rest = (stages.stage(spark, f"{out}/prepared_{k}", lambda e=e: B.prepare(e).select(*B.PREPARED)) for k, e in (("s1", s1), ("pool", pool)))
+    return stages.stage(spark, f"{out}/candidates", lambda: B.candidates_of(query, rest, b))
+
+
 def train(spark: SparkSession, s1: DataFrame, pool: DataFrame, truth: DataFrame, out: str, c: Config, arms: tuple[str, ...] = tuple(model.ARMS)) -> model.Spec:
     """Fit the arms, choose the one whose best threshold has the best macro F0.5 on the validation
     entities, and write it with its spec. Training candidates are not bound to a country."""
-    pairs = stages.stage(spark, f"{out}/candidates", lambda: B.candidates(s1, pool, B.Blocking(budget=c.budget, max_pair=c.max_pair)))
+    pairs = _candidates(spark, s1, pool, out, B.Blocking(budget=c.budget, max_pair=c.max_pair))
     made = stages.stage(spark, f"{out}/features", lambda: FT.featurize(labels.label(pairs, truth), s1, pool))
     rows = labels.class_weight(sampling.split(made, "s1_id", 0.8, c.seed)).cache()
     spine = sampling.split(s1.select(F.col("entity_id").alias("s1_id")), "s1_id", 0.8, c.seed).where("not is_train")
@@ -103,7 +109,7 @@ def _scored(spark: SparkSession, made: DataFrame, spec: model.Spec) -> DataFrame
 def link(spark: SparkSession, s1: DataFrame, pool: DataFrame, spec: model.Spec, out: str, c: Config) -> DataFrame:
     """Candidates, features, scores and result lists under out; returns the lists."""
     E.check_rows(s1, c.expected_s1)
-    pairs = stages.stage(spark, f"{out}/candidates", lambda: B.candidates(s1, pool, c.blocking()))
+    pairs = _candidates(spark, s1, pool, out, c.blocking())
     made = stages.stage(spark, f"{out}/features", lambda: FT.featurize(pairs, s1, pool))
     return finish(spark, made, pairs, s1, pool, spec, out, c)
 
