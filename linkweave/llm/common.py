@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -62,6 +63,14 @@ def settle(df: DataFrame, name: str, *used: DataFrame) -> DataFrame:
     return out
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker outlives its task and should not keep what that took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def batched(
     f: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]], max_bytes: int = 8 << 20
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -82,6 +91,7 @@ def batched(
                     yield got
                 else:
                     yield from got
+        give_back()
 
     return run
 

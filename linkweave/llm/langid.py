@@ -212,14 +212,15 @@ def predict(docs: DataFrame, m: Model, keep: tuple[str, ...] = ("doc_id",), name
     letter between edges counts as one): the bias decides. Repeated rows each come back; no rows:
     no rows. Only text is read for the prediction.
     """
-    schema = docs.select(*keep).schema
+    columns = list(dict.fromkeys([*keep, "text"]))
+    place, kept = columns.index("text"), len(keep)
     shared = docs.sparkSession.sparkContext.broadcast(m)  # buckets x languages, whatever the corpus
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        pred, score, accepted = classify(batch.column(0).to_pylist(), shared.value)
-        return pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(pred, pa.string()), pa.array(score), pa.array(accepted)], [*batch.schema.names[1:], *names])
+        pred, score, accepted = classify(batch.column(place).to_pylist(), shared.value)
+        return pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(pred, pa.string()), pa.array(score), pa.array(accepted)], [*columns[:kept], *names])
 
-    out = schema
+    out = docs.select(*keep).schema
     for name, kind in zip(names, ("string", "double", "boolean"), strict=True):
         out = out.add(name, kind)
-    return docs.select(F.col("text").alias("__text"), *keep).mapInArrow(batched(run, 2 << 20), out)
+    return docs.select(*columns).mapInArrow(batched(run, 1 << 20), out)

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import batched, materialize, texts
 
-#: entries after which a worker's word cache starts anew
-CACHE_WORDS = 1_000_000
+#: words of each of the two generations that a worker keeps
+CACHE_WORDS = 250_000
 
 
 def first_fit_decreasing(lengths: Iterable[int], capacity: int) -> tuple[list[int], list[int]]:
@@ -59,7 +59,8 @@ _TRAILING = re.compile(rb"([a-z])([!-&(-/:-@\[-`{-~]+)(?=[\x20\x09-\x0D]|$)")
 
 class _Words(dict):
     """Token ids of white-space separated words, as little-endian unsigned 32-bit bytes; a word is
-    tokenized when it is first asked for. A worker keeps one per tokenizer.
+    tokenized when it is first asked for. A worker keeps one per tokenizer. When it is full it becomes
+    the older generation, from which words that are asked for again come back.
 
     The tokenizer drops white space and lets no token cross it, so a text's ids are its words' ids in
     order. It lower-cases, and takes letters and marks for different pieces, so ASCII is lowered and
@@ -75,6 +76,7 @@ class _Words(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.older: dict[bytes, bytes] = {}
 
     @classmethod
     def at(cls, path: str) -> _Words:
@@ -83,6 +85,10 @@ class _Words(dict):
         return cls.kept[path]
 
     def __missing__(self, word: bytes) -> bytes:
+        found = self.older.get(word)
+        if found is not None:
+            self[word] = found
+            return found
         if word.isalpha() and word.islower():  # ASCII letters: one piece, as it is
             ids = [t.id for t in self.model.tokenize(word.decode())]
         else:
@@ -92,10 +98,11 @@ class _Words(dict):
 
     def of(self, docs: list[bytes | None]) -> list[bytes]:
         """The ids of each text."""
-        if len(self) > CACHE_WORDS:
-            self.clear()
         look, out = self.__getitem__, []
         for text in docs:
+            if len(self) > CACHE_WORDS:
+                self.older = dict(self)
+                self.clear()
             text = text or b""
             if b"<|" not in text:
                 text = _TRAILING.sub(rb"\1 \2", text.lower())

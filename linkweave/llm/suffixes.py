@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, settle, texts
+from .common import give_back, materialize, settle, texts
 
 _BASE, _OTHER = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 _BYTES = {b: np.random.default_rng(b & 0xFFFF).integers(0, 1 << 64, 256, np.uint64) for b in (_BASE, _OTHER)}
@@ -212,6 +212,7 @@ def _round(blocks: DataFrame, answers: list[DataFrame], ask: Callable[[Block, di
     def asked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, block, got in _blocks(batches, s):
             yield _rows([(number, *row) for row in ask(block, got)])
+        give_back()
 
     def answered(group: pa.Table) -> pa.Table:
         group = group.sort_by("block")
