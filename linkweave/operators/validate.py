@@ -12,9 +12,10 @@ EXAMPLES = 5
 
 def _finding(rows: DataFrame, column: str, rule: str, severity: str = "error") -> DataFrame:
     """Count and first examples of the offending values; no more than the examples are gathered."""
-    top = rows.select(F.col(column).cast("string").alias("v")).distinct().orderBy("v").limit(EXAMPLES).agg(F.sort_array(F.collect_list("v")).alias("examples"))
-    counted = rows.agg(F.count("*").alias("n")).withColumn("rule", F.lit(rule))
-    return counted.join(top.withColumn("rule", F.lit(rule)), "rule").select("rule", F.lit(severity).alias("severity"), "n", "examples").where("n > 0")
+    top = rows.select(F.col(column).cast("string").alias("v")).distinct().orderBy("v").limit(EXAMPLES)
+    counted = rows.agg(F.count("*").alias("n")).withColumn("v", F.lit(None).cast("string"))
+    both = counted.unionByName(top.withColumn("n", F.lit(0).cast("long"))).agg(F.sum("n").alias("n"), F.sort_array(F.collect_list("v")).alias("examples"))
+    return both.select(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), "n", "examples").where("n > 0")
 
 
 def lists(rows: DataFrame, known_ids: DataFrame | None = None, required: DataFrame | None = None) -> DataFrame:
