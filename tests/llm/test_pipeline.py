@@ -83,3 +83,15 @@ def test_nulls_everywhere(spark):
         got = stage(spark, docs, "")
         assert got.columns == COLUMNS and got.collect() is not None
     assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == 5
+
+
+def test_languages_unknown(spark):
+    """Without a label outside the held-out fold, documents with letters stay."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    texts = ["some words here", "été", "12 34 --", None, "", "x"]
+    unlabelled = [(i, t, None, "s", 5) for i, t in enumerate(texts)]
+    fold = [r.id for r in spark.range(200).where(corpus_pipeline.langid.held_out("id")).collect()]
+    in_fold = [(i, t, "en", "s", 5) for i, t in zip(fold, texts)]
+    for rows in (unlabelled, in_fold):
+        got = corpus_pipeline.identify_language(spark, spark.createDataFrame(rows, schema), "")
+        assert got.columns == COLUMNS and sorted(r.text for r in got.collect()) == ["some words here", "x", "été"]
