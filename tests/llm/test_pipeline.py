@@ -95,3 +95,12 @@ def test_languages_unknown(spark):
     for rows in (unlabelled, in_fold):
         got = corpus_pipeline.identify_language(spark, spark.createDataFrame(rows, schema), "")
         assert got.columns == COLUMNS and sorted(r.text for r in got.collect()) == ["some words here", "x", "été"]
+
+
+def test_unrelated_texts_under_one_id(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(20)) for c in "abc")
+    rows = [(5, one, "en", "s", 1), (5, two, "en", "s", 1), (5, one, "de", "r", 1), (6, two, "en", "s", 1), (5, three, "en", "s", 1), (4, three, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for found in (docs, docs.orderBy("lang", "text"), docs.orderBy(docs.lang.desc(), docs.text.desc())):
+        got = corpus_pipeline.drop_near_copies(spark, found, "")
+        assert sorted(map(tuple, got.collect())) == [(4, three, "en", "s", 1), (5, one, "de", "r", 1), (5, two, "en", "s", 1)]
