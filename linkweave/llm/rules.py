@@ -104,17 +104,17 @@ def _holds(rule: Rule, x: np.ndarray) -> np.ndarray:
     return got
 
 
-def _lasso(r: np.ndarray, y: np.ndarray, s: Settings) -> tuple[float, np.ndarray]:
-    """Logistic weights under an L1 penalty; the bias is free."""
+def _lasso(r: np.ndarray, y: np.ndarray, s: Settings, u: np.ndarray) -> tuple[float, np.ndarray]:
+    """Logistic weights under an L1 penalty; the bias is free. u: the rows' weights, one on average."""
     n, m = r.shape
     z = np.hstack([np.ones((n, 1)), r])
-    step = 4 * n / max(np.linalg.norm(z, 2) ** 2, 1e-9)
+    step = 4 * n / max(np.linalg.norm(z * np.sqrt(u)[:, None], 2) ** 2, 1e-9)
     w = np.zeros(m + 1)
-    w[0] = math.log((y.sum() + 1) / (len(y) - y.sum() + 1))
+    w[0] = math.log(((u * y).sum() + 1) / ((u * (1 - y)).sum() + 1))
     v, t = w.copy(), 1.0
     for _ in range(s.steps):
         p = 1 / (1 + np.exp(-np.clip(z @ v, -30, 30)))
-        new = v - step * (z.T @ (p - y) / n)
+        new = v - step * (z.T @ (u * (p - y)) / n)
         new[1:] = np.sign(new[1:]) * np.maximum(np.abs(new[1:]) - step * s.penalty, 0)
         grown = (1 + math.sqrt(1 + 4 * t * t)) / 2
         v = new + (t - 1) / grown * (new - w)
@@ -122,12 +122,14 @@ def _lasso(r: np.ndarray, y: np.ndarray, s: Settings) -> tuple[float, np.ndarray
     return float(w[0]), w[1:]
 
 
-def fit(x: np.ndarray, y: np.ndarray, s: Settings = Settings()) -> Model:
-    """x: rows of STATISTICS; y: 0 or 1. One class only, or no row: a constant score near its share."""
+def fit(x: np.ndarray, y: np.ndarray, s: Settings = Settings(), stands: tuple[float, float] = (1.0, 1.0)) -> Model:
+    """x: rows of STATISTICS; y: 0 or 1; stands: for how many rows one of class 0 or 1 stands. One class only, or no row: a constant score near its share."""
     if len(y) == 0 or y.min() == y.max():
         return Model(math.log((float(np.sum(y)) + 1) / (len(y) - float(np.sum(y)) + 1)), ())
     order = np.lexsort((*x.T, y))  # whatever order the sample came in
     x, y = x[order], y[order].astype(float)
+    u = np.where(y == 1, stands[1], stands[0])
+    u = u / u.mean()
     rng, rules = np.random.default_rng(s.seed), set()
     half = [np.flatnonzero(y == c) for c in (0.0, 1.0)]
     for _ in range(s.trees):
@@ -144,8 +146,8 @@ def fit(x: np.ndarray, y: np.ndarray, s: Settings = Settings()) -> Model:
             kept.append(rule)
             columns.append(held)
     if not kept:
-        return Model(math.log((y.sum() + 1) / (len(y) - y.sum() + 1)), ())
-    bias, weights = _lasso(np.stack(columns, axis=1).astype(float), y, s)
+        return Model(math.log(((u * y).sum() + 1) / ((u * (1 - y)).sum() + 1)), ())
+    bias, weights = _lasso(np.stack(columns, axis=1).astype(float), y, s, u)
     return Model(bias, tuple((rule, float(w)) for rule, w in zip(kept, weights, strict=True) if abs(w) > 1e-6))
 
 
@@ -167,7 +169,8 @@ def fold(folds: int = 4) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
     """Learn labels.quality from docs.text. Rows come from labels with quality 0 or 1, about
-    s.per_class of each by a hash of the id, so the sample is bounded and repeatable."""
+    s.per_class of each by a hash of the id, so the sample is bounded and repeatable; they weigh as
+    many rows as they stand for, so scores keep the labels' natural ratio at every table size."""
     known = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", "quality")
     counts = {r.quality: r["count"] for r in known.groupBy("quality").count().collect()}
     unit = (F.xxhash64(F.lit(s.seed), "doc_id").bitwiseAND((1 << 52) - 1) / float(1 << 52)).cast("double")
@@ -178,7 +181,8 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model
     sample = docs.select("doc_id", "text").join(F.broadcast(known.where(unit < share)), "doc_id")
     rows = sample.select("quality", *[c.alias(k) for k, c in statistics(F.col("text")).items()]).toArrow()
     x = np.column_stack([rows[k].to_numpy() for k in STATISTICS]) if len(rows) else np.zeros((0, len(STATISTICS)))
-    return fit(x, rows["quality"].to_numpy(), s)
+    stands = tuple(max(1.0, counts.get(k, 0) / s.per_class) for k in (0, 1))
+    return fit(x, rows["quality"].to_numpy(), s, stands)
 
 
 def score(docs: DataFrame, m: Model, keep: tuple[str, ...] = ("doc_id",), at: float = 0.7) -> DataFrame:

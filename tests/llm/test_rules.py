@@ -54,3 +54,16 @@ def test_one_class_and_no_labels(spark):
     ones = spark.createDataFrame([(1, 1), (2, 1), (None, 1), (2, None)], "doc_id long, quality int")
     model = rules.train(docs, ones)
     assert model.rules == () and rules.score(docs, model).first().score > 0.5
+
+
+def test_sampling_keeps_the_ratio(spark):
+    """1000 to 200 labels on texts that say nothing: scores near 5/6, whether or not classes are sampled."""
+    import random
+
+    rnd = random.Random(3)
+    rows = [(i, " ".join("ab1,"[rnd.randrange(4)] * rnd.randrange(1, 9) for _ in range(20)), int(i >= 200)) for i in range(1200)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, quality int").cache()
+    docs, labels = table.select("doc_id", "text"), table.select("doc_id", "quality")
+    for most in (150, 3000):
+        model = rules.train(docs, labels, rules.Settings(per_class=most, trees=5, penalty=0.02))
+        assert abs(rules.score(docs, model).agg({"score": "avg"}).first()[0] - 5 / 6) < 0.08
