@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, materialize
+from .common import forget, materialize, settle
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -38,7 +38,8 @@ def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # a sum of 64-bit hashes can wrap; as decimals it can't, and equal sets have equal sums
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen or not state[0]:
-            return now.select(F.col("b").alias("node"), F.col("a").alias("label")).unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct())
+            labels = now.select(F.col("b").alias("node"), F.col("a").alias("label")).unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct())
+            return settle(labels, "components", now)
         seen = state
         was, now = now, materialize(_star(_star(now, True), False), "edges")
         forget(was)

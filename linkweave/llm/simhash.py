@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batched, materialize, texts
+from .common import batched, forget, materialize, settle, texts
 from .components import connected
 
 BITS = 64
@@ -105,7 +105,7 @@ def links(fps: DataFrame, distance: int = 2, blocks: int = 4, pair_limit: int =
     near = many.select("i", "fp", F.explode(chosen).alias("flip")).select("i", F.col("fp").bitwiseXOR(F.col("flip")).alias("value"), "fp")
     least = near.groupBy("i", "value").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a < z").drop("z")
     stars = near.join(least, ["i", "value"]).where(F.col("a") < F.col("fp")).select("a", F.col("fp").alias("b")).distinct().where(_near("a", "b", distance))
-    return pairs.unionByName(stars).distinct()
+    return settle(pairs.unionByName(stars).distinct(), "simhash-edges", met)
 
 
 def groups(docs: DataFrame, distance: int = 2, blocks: int = 4, pair_limit: int = 64, words: int = 3) -> DataFrame:
@@ -119,8 +119,11 @@ def groups(docs: DataFrame, distance: int = 2, blocks: int = 4, pair_limit: int
     """
     fps = materialize(fingerprints(docs, words), "simhash")
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    joined = connected(links(distinct, distance, blocks, pair_limit))
+    edges = links(distinct, distance, blocks, pair_limit)
+    joined = connected(edges)
+    forget(edges)
     labelled = distinct.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     lowest = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
     of_fp = labelled.join(lowest, "label").select("fp", "component_id")
-    return fps.join(of_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    found = fps.join(of_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return settle(found, "simhash-groups", fps, joined)
