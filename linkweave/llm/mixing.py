@@ -19,10 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize
+from .common import WORD, materialize, settle
 
 #: exponents that one pass over the sources' totals tries
 TRIES = 16
+#: epochs that a row is multiplied by at once
+SPAN = 1024
 
 
 @dataclass(frozen=True)
@@ -112,38 +114,46 @@ def weights(sums: DataFrame, s: Settings) -> DataFrame:
     return sums.select("source", "total", "rows", (p / z).alias("weight"), epochs.alias("epochs"), F.lit(max(1, math.ceil(emitted / s.block_tokens))).cast("long").alias("blocks"))
 
 
-def mix(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """The rows of docs, each as often as its source's weight asks, with __epoch, __block, __tokens
-    and __weight added.
+def place(docs: DataFrame, s: Settings = Settings(), carry: tuple[str, ...] | None = None) -> DataFrame:
+    """(row, epoch, block, tokens, weight): the rows of docs, each as often as its source's weight asks.
 
+    row: a struct of the carried columns (None: all of docs), which so may have any names.
     A row is shown once in every whole epoch of its source, and in the part of an epoch that is
     left over if it starts within it in that epoch's permutation. Null texts have no tokens and are
     shown like others. A null source is a source of its own. Repeated rows are rows of their own.
     No rows: no rows. docs needs doc_id, text and source and must give the same rows when read
-    again; its other columns are carried along.
+    again.
     """
-    columns = docs.columns
-    sized = docs.withColumn("__tokens", tokens(F.col("text")))
-    sums = materialize(totals(sized.select("source", F.col("__tokens").alias("tokens"))), "sources")
-    plan = materialize(weights(sums, s), "weights")
-    plan = plan.select(*[F.col(c).alias(f"__{c}") for c in ("source", "total", "rows", "weight", "epochs", "blocks")])  # docs may have such columns
+    carry = tuple(docs.columns) if carry is None else carry
+    # no keys are null, so that joins on them and the window need one and the same partitioning
+    source = [F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNull().alias("none")]
+    sized = docs.select(F.struct(*carry).alias("row"), *source, F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), tokens(F.col("text")).alias("tokens"))
+    sums = materialize(totals(docs.select("source", tokens(F.col("text")).alias("tokens"))), "sources")
+    plan = settle(weights(sums, s).select(*source, "total", "rows", "weight", "epochs", "blocks"), "weights", sums)
     # the sources' table is small next to the rows; Spark broadcasts it only if its size allows
-    joined = sized.join(plan, F.col("source").eqNullSafe(F.col("__source")), "left")
-    u = F.xxhash64(F.lit(s.seed), F.col("__epoch"), F.col("doc_id"), F.xxhash64("text"))
+    joined = sized.join(plan, ["name", "none"], "left").where("epochs > 0")
+    last = F.ceil("epochs") - 1
+    spans = joined.withColumn("span", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / SPAN))))  # no long array in a row
     shown = (
-        joined.withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil("__epochs").cast("int") - 1))))
-        .where(F.col("__epochs") > 0)
-        .withColumn("__u", u)
-        .withColumn("__range", F.floor((F.col("__u") / F.lit(2.0**64) + 0.5) * F.ceil(F.col("__rows") / s.range_rows)))
+        spans.withColumn("epoch", F.explode(F.sequence(F.col("span") * SPAN, F.least(F.col("span") * SPAN + (SPAN - 1), last))))
+        .withColumn("epoch", F.col("epoch").cast("int"))
+        .withColumn("u", F.xxhash64(F.lit(s.seed), F.col("epoch"), F.col("id"), F.col("hash")))
+        .withColumn("range", F.floor((F.col("u") / F.lit(2.0**64) + 0.5) * F.ceil(F.col("rows") / s.range_rows)))
+        .drop("rows", "hash", "span")
     )
-    key = ["__source", "__epoch", "__range"]
-    sums_of_ranges = shown.groupBy(*key).agg(F.sum("__tokens").alias("__sum"))
-    before = W.partitionBy("__source", "__epoch").orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
-    starts = sums_of_ranges.select(*[F.col(k).alias(k + "0") for k in key], F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"))
-    same = F.col("__source").eqNullSafe(F.col("__source0")) & (F.col("__epoch") == F.col("__epoch0")) & (F.col("__range") == F.col("__range0"))
-    within = W.partitionBy(*key).orderBy("__u", "doc_id").rowsBetween(W.unboundedPreceding, -1)
-    placed = shown.withColumn("__within", F.coalesce(F.sum("__tokens").over(within), F.lit(0))).join(starts, same)
-    t = F.col("__epoch") + (F.col("__before") + F.col("__within")) / F.col("__total")
-    done = placed.withColumn("__t", F.least(t, F.col("__epoch") + F.lit(1.0 - 1e-12))).where(F.col("__t") < F.col("__epochs"))
-    block = F.least(F.floor(F.col("__t") / F.col("__epochs") * F.col("__blocks")), F.col("__blocks") - 1)
-    return done.select(*columns, F.col("__epoch"), block.alias("__block"), F.col("__tokens"), F.col("__weight"))
+    key = ["name", "none", "epoch", "range"]
+    of_ranges = shown.groupBy(*key).agg(F.sum("tokens").alias("sum"))
+    before = W.partitionBy("name", "none", "epoch").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    starts = of_ranges.select(*key, F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("before"))
+    within = W.partitionBy(*key).orderBy("u", "id").rowsBetween(W.unboundedPreceding, -1)
+    placed = shown.withColumn("within", F.coalesce(F.sum("tokens").over(within), F.lit(0))).join(starts, key)
+    t = F.col("epoch") + (F.col("before") + F.col("within")) / F.col("total")
+    done = placed.withColumn("t", F.least(t, F.col("epoch") + F.lit(1.0 - 1e-12))).where(F.col("t") < F.col("epochs"))
+    block = F.least(F.floor(F.col("t") / F.col("epochs") * F.col("blocks")), F.col("blocks") - 1)
+    return done.select("row", "epoch", block.alias("block"), "tokens", "weight")
+
+
+def mix(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """The rows of docs as `place` gives them, with __epoch, __block, __tokens and __weight added."""
+    added = ["epoch", "block", "tokens", "weight"]
+    return place(docs, s).select("row.*", *[F.col(c).alias(f"__{c}") for c in added])

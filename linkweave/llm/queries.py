@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import chat, langid, mixing, packing, rules, simhash, sketch, substring, suffixes, webp
 from .common import documents
@@ -36,9 +35,8 @@ def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where in the mixture each document is shown: every source up to one and a half times, all
     documents at least once."""
-    got = mixing.mix(documents(spark, sf_dir, "doc_id", "text", "source"), mixing.Settings(repeats=1.5))
-    names = {"__epoch": "epoch", "__block": "block", "__tokens": "tokens", "__weight": "weight"}
-    return got.select("doc_id", "source", *[F.col(k).alias(v) for k, v in names.items()])
+    got = mixing.place(documents(spark, sf_dir, "doc_id", "text", "source"), mixing.Settings(repeats=1.5), ("doc_id", "source"))
+    return got.select("row.*", "epoch", "block", "tokens", "weight")
 
 
 def op5_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
