@@ -8,10 +8,12 @@ finds the first bin that has space for a piece in logarithmic time.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
 from collections.abc import Callable, Iterable
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +22,12 @@ from pyspark.sql import functions as F
 
 from .common import batched, materialize, texts
 
-#: words of each of the two generations that a worker keeps
-CACHE_WORDS = 250_000
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
+#: size of each of the two generations of words that a worker keeps, what an entry takes besides its
+#: bytes, and the length of a word beyond which it is not kept
+CACHE_BYTES, ENTRY_BYTES, LONG_WORD = 48 << 20, 200, 256
 
 
 def first_fit_decreasing(lengths: Iterable[int], capacity: int) -> tuple[list[int], list[int]]:
@@ -57,14 +63,28 @@ def first_fit_decreasing(lengths: Iterable[int], capacity: int) -> tuple[list[in
 _TRAILING = re.compile(rb"([a-z])([!-&(-/:-@\[-`{-~]+)(?=[\x20\x09-\x0D]|$)")
 
 
+def _by_words(tokenizer: Tokenizer) -> bool:
+    """Whether the tokenizer composes, drops white space, lower-cases and takes letters and marks for
+    different pieces, which is what the short ways of _Words rest on."""
+    rules = json.loads(tokenizer.to_str())
+    normal = [r["type"] for r in (rules["normalizer"] or {}).get("normalizers", [])]
+    pieces = (rules["pre_tokenizer"] or {}).get("pretokenizers", [])
+    pattern = pieces[0].get("pattern", {}).get("Regex", "") if pieces else ""
+    letters = pattern.split("|")[-3:] == [r"[\p{L}]+", r"[\p{N}]", r"[^\s\p{L}\p{N}]+"]
+    plain = all(t["content"].startswith("<|") and not t["normalized"] for t in rules["added_tokens"])
+    return normal == ["NFC", "Replace", "Lowercase"] and [r["type"] for r in pieces] == ["Split", "ByteLevel"] and letters and plain
+
+
 class _Words(dict):
     """Token ids of white-space separated words, as little-endian unsigned 32-bit bytes; a word is
     tokenized when it is first asked for. A worker keeps one per tokenizer. When it is full it becomes
-    the older generation, from which words that are asked for again come back.
+    the older generation, from which words that are asked for again come back; a long word is not kept.
 
     The tokenizer drops white space and lets no token cross it, so a text's ids are its words' ids in
-    order. It lower-cases, and takes letters and marks for different pieces, so ASCII is lowered and
-    trailing marks become words of their own first; not where a special token may be written out.
+    order. Words of ASCII alone, without what may be a special token, are lower-cased, and their
+    trailing marks become words of their own. Any other word goes to the tokenizer as it stands: it
+    composes before it lower-cases, which is not the same in the other order. A tokenizer with other
+    rules gets whole texts.
     """
 
     kept: dict[str, _Words] = {}
@@ -76,7 +96,9 @@ class _Words(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.by_words = _by_words(self.tokenizer)
         self.older: dict[bytes, bytes] = {}
+        self.size = 0
 
     @classmethod
     def at(cls, path: str) -> _Words:
@@ -84,27 +106,34 @@ class _Words(dict):
             cls.kept[path] = cls(path)
         return cls.kept[path]
 
+    def _encoded(self, text: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
     def __missing__(self, word: bytes) -> bytes:
         found = self.older.get(word)
-        if found is not None:
+        if found is None:
+            if word.isalpha() and word.islower():  # ASCII letters: one piece, as it is
+                found = np.array([t.id for t in self.model.tokenize(word.decode())], "<u4").tobytes()
+            elif word.isascii() and b"<|" not in word and (parts := _TRAILING.sub(rb"\1 \2", word.lower()).split()) != [word]:
+                found = b"".join([self[p] for p in parts])
+            else:
+                found = self._encoded(word)
+        if len(word) <= LONG_WORD:
+            self.size += len(word) + len(found) + ENTRY_BYTES
+            if self.size > CACHE_BYTES:
+                self.older, self.size = dict(self), 0
+                self.clear()
             self[word] = found
-            return found
-        if word.isalpha() and word.islower():  # ASCII letters: one piece, as it is
-            ids = [t.id for t in self.model.tokenize(word.decode())]
-        else:
-            ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-        self[word] = found = np.array(ids, "<u4").tobytes()
         return found
 
     def of(self, docs: list[bytes | None]) -> list[bytes]:
         """The ids of each text."""
+        if not self.by_words:
+            return [self._encoded(t or b"") for t in docs]
         look, out = self.__getitem__, []
         for text in docs:
-            if len(self) > CACHE_WORDS:
-                self.older = dict(self)
-                self.clear()
             text = text or b""
-            if b"<|" not in text:
+            if text.isascii() and b"<|" not in text:
                 text = _TRAILING.sub(rb"\1 \2", text.lower())
             out.append(b"".join(map(look, text.split())))
         return out

@@ -67,3 +67,33 @@ def test_edges(spark):
     got = packing.pack_documents(docs.repartition(3), path).collect()
     check(rows, got)
     assert packing.pack_documents(docs.limit(0), path).collect() == []
+
+
+def test_composing_before_lower_case(spark):
+    """Capitals that don't compose with the next mark, beside small letters that do."""
+    rows = [(i, t) for i, t in enumerate(["J\u030c", "T\u0308", "H\u0331", "W\u030a", "Y\u030a", "xJ\u030cy a T\u0308. É", "ALL ascii, but Y\u030a!", "e\u0301 E\u0301... CAFE\u0301", "A <|endoftext|> J\u030c B.", "<|ENDOFTEXT|> <|x Y. z"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    check(rows, packing.pack_documents(docs, path).collect())
+
+
+def test_text_without_spaces_and_the_cache(spark, monkeypatch):
+    rnd = random.Random(8)
+    rows = [(1, "".join(rnd.choice("的一是不了人我在有他这中大来上国") for _ in range(1_700_000))), (2, "".join(rnd.choice("abcdefgh0123+/") for _ in range(300_000)))]
+    rows += [(3 + i, " ".join("w%dx." % rnd.randrange(10**6) for _ in range(400))) for i in range(5)]
+    monkeypatch.setattr(packing, "CACHE_BYTES", 50_000)
+    words = packing._Words(path())
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path())
+    for _, text in rows:
+        (got,) = words.of([text.encode()])
+        assert got == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        held = sum(len(k) + len(v) + packing.ENTRY_BYTES for d in (words, words.older) for k, v in d.items())
+        assert held <= 2 * (50_000 + 3000) and max(map(len, words), default=0) <= packing.LONG_WORD
+
+
+def test_another_tokenizer_gets_whole_texts():
+    words = packing._Words(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not words.by_words and packing._Words(path()).by_words
+    text = "Two  words, É J\u030c\n"
+    assert words.of([text.encode(), None]) == [np.array(words.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), b""]
