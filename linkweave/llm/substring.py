@@ -9,7 +9,10 @@ An anchor whose words stand in two documents is extended to its context, the spa
 that hold it. Where another document with a smaller id has the same context, all of those windows
 repeat at once. That settles the inside of copied text. Where contexts differ, at the edges of
 copied text, the least document of each context also files the single windows that hold the
-anchor, by 128-bit hashes, and the least document of each window decides.
+anchor, and the least document of each window decides.
+
+Contexts and windows are told apart by 128-bit XXH3 hashes of their words as bytes, not by the words
+themselves: of n different ones, two are taken for equal with a probability of about n * n / 2**129.
 
 Every step is an aggregation to a minimum or an equi-join, so no group of copies is gathered.
 """
@@ -21,14 +24,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batched, materialize, settle, texts
 
-_BYTE = np.random.default_rng(50).integers(0, 1 << 64, 256, np.uint64)
-_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
-_WORD_BASE = 0xC2B2AE3D27D4EB4F
+_SEED = 50
+_ODD = 0x9E3779B97F4A7C15
 
 
 @dataclass(frozen=True)
@@ -65,39 +68,30 @@ def difference_cover(period: int) -> tuple[int, ...]:
         size += 1
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, np.uint64(base), np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
-    return x ^ (x >> np.uint64(33))
-
-
-class Rolling:
-    """Polynomial hashes modulo 2**64 of any span of a sequence of mixed 64-bit values."""
+def normal(text: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """A text's words joined by one space, and where each starts and ends."""
+    a = np.frombuffer(text, np.uint8)
+    space = (a == 32) | ((a >= 9) & (a <= 13))
+    keep = ~space
+    keep[1:] |= space[1:] & ~space[:-1]
+    a = np.where(space, np.uint8(32), a)[keep]
+    a = a[:-1] if len(a) and a[-1] == 32 else a
+    edges = np.flatnonzero(a == 32)
+    if not len(a):
+        return b"", edges, edges
+    return a.tobytes(), np.concatenate([[0], edges + 1]), np.concatenate([edges, [len(a)]])
 
-    def __init__(self, values: np.ndarray, base: int):
-        n = len(values)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(values * _powers(base, n), out=self.sums[1:])
-        self.shift = _powers(pow(base, -1, 1 << 64), n + 1)
 
-    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.sums[end] - self.sums[start]) * self.shift[start]
+def _keys(joined: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of bytes."""
+    digest = xxhash.xxh64_digest
+    return np.frombuffer(b"".join([digest(joined[a:b], _SEED) for a, b in zip(start.tolist(), end.tolist(), strict=True)]), "<u8")
 
 
-def word_hashes(joined: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start and end of each word of a text."""
-    a = np.frombuffer(joined, np.uint8)
-    inside = ~((a == 32) | ((a >= 9) & (a <= 13)))
-    edge = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    hashes = Rolling(_BYTE[a], _WORD_BASE)(start, end)
-    return _mix(hashes + (end - start).astype(np.uint64) * np.uint64(_BASES[0])), start, end
+def _names(joined: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128-bit hashes of spans of bytes, as two columns."""
+    digest = xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join([digest(joined[a:b], _SEED) for a, b in zip(start.tolist(), end.tolist(), strict=True)]), "<u8").reshape(-1, 2)
 
 
 def _anchors(n: int, s: Settings, cover: tuple[int, ...]) -> np.ndarray:
@@ -111,33 +105,35 @@ def _context(p: np.ndarray, n: int, s: Settings) -> tuple[np.ndarray, np.ndarray
     return np.maximum(0, p - s.period + 1), np.minimum(p, n - s.window)
 
 
-def _occurrences(docs: DataFrame, s: Settings) -> DataFrame:
-    """(key, context, doc_id, reach) for each anchor; documents without a window have none. reach: the
-    first and the last start of the windows that hold the anchor, in one number."""
+def _occurrences(docs: DataFrame, s: Settings, contexts: bool) -> DataFrame:
+    """(key, doc_id) for each anchor, or (key, c1, c2, doc_id, reach) with its context's name; documents
+    without a window have none. reach: the first and the last start of the windows that hold the
+    anchor, in one number."""
     cover = difference_cover(s.period)
     span = s.window - s.period + 1
+    names = ["key", "doc_id", "c1", "c2", "reach"] if contexts else ["key", "doc_id"]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        parts: list[list[np.ndarray]] = [[] for _ in range(4)]
+        parts: list[list[np.ndarray]] = [[] for _ in names]
         for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
             if text is None or len(text) < 2 * s.window - 1:
                 continue
-            words, _, _ = word_hashes(text)
-            p = _anchors(len(words), s, cover)
+            joined, start, end = normal(text)
+            p = _anchors(len(start), s, cover)
             if not len(p):
                 continue
-            first, last = _context(p, len(words), s)
-            of = Rolling(words, _BASES[0])
-            end = last + s.window
-            # where the anchor lies in its context belongs to the context
-            context = _mix(of(first, end) + (p - first).astype(np.uint64) * np.uint64(_BASES[1]) + (end - first).astype(np.uint64) * np.uint64(_WORD_BASE))
-            for out, col in zip(parts, (of(p, p + span).view(np.int64), context.view(np.int64), np.full(len(p), doc_id), first << 32 | last), strict=True):
+            found = [_keys(joined, start[p], end[p + span - 1]).view(np.int64), np.full(len(p), doc_id)]
+            if contexts:
+                first, last = _context(p, len(start), s)
+                name = _names(joined, start[first], end[last + s.window - 1])
+                # where the anchor lies in its context belongs to the context
+                found += [(name[:, 0] + (p - first).astype(np.uint64) * np.uint64(_ODD)).view(np.int64), np.ascontiguousarray(name[:, 1]).view(np.int64), first << 32 | last]
+            for out, col in zip(parts, found, strict=True):
                 out.append(col)
-        columns = [pa.array(np.concatenate(c) if c else [], pa.int64()) for c in parts]
-        return pa.RecordBatch.from_arrays(columns, ["key", "context", "doc_id", "reach"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], pa.int64()) for c in parts], names)
 
     usable = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
-    return usable.mapInArrow(batched(run, 4 << 20), "key long, context long, doc_id long, reach long")
+    return usable.mapInArrow(batched(run, 4 << 20), ", ".join(f"{n} long" for n in names))
 
 
 def _single_windows(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
@@ -146,8 +142,8 @@ def _single_windows(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFram
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         parts: list[list[np.ndarray]] = [[] for _ in range(4)]
         for doc_id, text, spans in zip(batch.column(0).to_pylist(), texts(batch.column(1)), batch.column(2), strict=True):
-            words, _, _ = word_hashes(text or b"")
-            n = len(words)
+            joined, start, end = normal(text or b"")
+            n = len(start)
             if n < s.window:
                 continue
             bounds = np.asarray(spans.values).reshape(-1, 2)
@@ -156,7 +152,8 @@ def _single_windows(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFram
             np.add.at(marks, np.minimum(bounds[:, 0], n), 1)
             np.add.at(marks, np.minimum(bounds[:, 1] + 1, n), -1)
             at = np.flatnonzero(np.cumsum(marks)[: n - s.window + 1] > 0)
-            for out, col in zip(parts, (*(_mix(Rolling(words, b)(at, at + s.window)).view(np.int64) for b in _BASES), np.full(len(at), doc_id), at), strict=True):
+            name = _names(joined, start[at], end[at + s.window - 1])
+            for out, col in zip(parts, (name[:, 0].copy().view(np.int64), name[:, 1].copy().view(np.int64), np.full(len(at), doc_id), at), strict=True):
                 out.append(col)
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32())
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], k) for c, k in zip(parts, kinds, strict=True)], ["h1", "h2", "doc_id", "at"])
@@ -171,17 +168,17 @@ def repeats(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
     Documents without such words have no row.
     """
-    found = _occurrences(docs, s)
     # aggregates are written before they are joined: both sides of each join are then plain
     # shuffles, whose large partitions Spark can split
-    shared = found.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("key")
+    shared = _occurrences(docs, s, False).groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("key")
     shared = materialize(shared, "anchors")
-    met = settle(found.join(shared, "key"), "met", shared)
-    owners = met.groupBy("key", "context").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("z")).where("owner < z").drop("z")
+    met = settle(_occurrences(docs, s, True).join(shared, "key"), "met", shared)
+    context = ["key", "c1", "c2"]
+    owners = met.groupBy(*context).agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("z")).where("owner < z").drop("z")
     owners = materialize(owners, "contexts")
-    several = met.groupBy("key").agg(F.min("context").alias("a"), F.max("context").alias("z")).where("a < z").select("key")
+    several = met.groupBy("key").agg(F.min(F.struct("c1", "c2")).alias("a"), F.max(F.struct("c1", "c2")).alias("z")).where("a < z").select("key")
     several = materialize(several, "several")
-    marked = met.join(owners, ["key", "context"], "left")
+    marked = met.join(owners, context, "left")
     first, last = F.shiftright("reach", 32).cast("int"), F.col("reach").bitwiseAND(0xFFFFFFFF).cast("int")
     settled = marked.where("owner < doc_id").select("doc_id", first.alias("first"), (last + s.window).alias("end"))
     # what no earlier document has in full: the windows are looked at one by one, if any can differ
@@ -210,12 +207,6 @@ def cover(n: int, spans: np.ndarray) -> np.ndarray:
     return np.cumsum(marks)[:n] > 0
 
 
-def _cut(docs: DataFrame, s: Settings) -> DataFrame:
-    """docs with __spans; docs may have columns of any other names."""
-    found = repeats(docs, s).select(F.col("doc_id").alias("__doc_id"), F.col("spans").alias("__spans"))
-    return docs.join(found, F.col("doc_id").cast("long") == F.col("__doc_id"), "left").drop("__doc_id")
-
-
 def digests(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """Remove repeated windows' words: doc_id, n_words, n_removed, kept_sha256.
 
@@ -239,7 +230,8 @@ def digests(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    joined = _cut(docs.select("doc_id", "text"), s).select("doc_id", "text", "__spans")
+    found = repeats(docs, s).withColumnRenamed("doc_id", "id")
+    joined = docs.select("doc_id", "text", F.col("doc_id").cast("long").alias("id")).join(found, "id", "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(batched(run), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
 
 
@@ -260,9 +252,16 @@ def dedup(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
             out.append(text)
         return pa.RecordBatch.from_arrays([pa.array(out, pa.string()), *batch.columns[2:]], ["text", *batch.schema.names[2:]])
 
+    # the other columns ride in a struct, so they may have any names
     rest = [c for c in columns if c != "text"]
-    schema = docs.select("text", *rest).schema
-    cut = _cut(docs, s).select("text", "__spans", *rest).mapInArrow(batched(run), schema)
-    if "n_chars" in columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return cut.select(*columns)
+    rows = docs.select("text", F.struct(*rest).alias("rest"), F.col("doc_id").cast("long").alias("id"))
+    joined = rows.join(repeats(docs, s).withColumnRenamed("doc_id", "id"), "id", "left")
+    cut = joined.select("text", "spans", "rest").mapInArrow(batched(run), rows.select("text", "rest").schema)
+
+    def column(c: str) -> Column:
+        own = F.col("text") if c == "text" else F.col("rest")[c]
+        if c == "n_chars":
+            own = F.when(F.col("text").isNull(), own).otherwise(F.length("text").cast(docs.schema[c].dataType))
+        return own.alias(c)
+
+    return cut.select(*map(column, columns))

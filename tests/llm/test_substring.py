@@ -77,3 +77,32 @@ def test_dedup_keeps_rows_and_columns(spark):
     got = substring.dedup(docs)
     assert got.schema == docs.schema
     assert sorted(map(tuple, got.collect())) == [rows[0], (2, "a b c", "en", None, 5), rows[2], rows[3]]
+
+
+def thue_morse(a, b, n):
+    return [a if bin(i).count("1") % 2 == 0 else b for i in range(n)]
+
+
+def test_words_that_defeat_hashes_modulo_a_power_of_two(spark):
+    """Alternating words and letters whose polynomials agree modulo 2**64 whatever the base."""
+    x, y = "".join(thue_morse("a", "b", 2048)), "".join(thue_morse("b", "a", 2048))
+    same = " ".join(f"w{i}" for i in range(49))
+    rows = [(1, f"{same} {x}"), (2, f"{same} {y}"), (3, f"{y} {same}"), (4, f"{x} {same} {y}")]
+    rows += [(10 + i, " ".join(thue_morse(*p, 256))) for i, p in enumerate([("p", "q"), ("q", "p"), ("p", "r")])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, substring.digests(docs).collect()))
+    assert got == sorted(brute(rows)) and got[1][2] == 0
+
+
+def test_normal_words():
+    for text in ("", " ", "a", " a", "a\n\t b ", "\x0b\x0cx  y\r", "é\u00a0b c", "\x1c \x85"):
+        joined, start, end = substring.normal(text.encode())
+        words = text.encode().split()
+        assert joined == b" ".join(words) and [joined[a:b] for a, b in zip(start, end)] == words
+
+
+def test_columns_named_like_helpers(spark):
+    text = " ".join(map(str, range(80)))
+    rows = [(1, text, 1, 2, 3), (2, text + " x", 4, 5, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans int, rest int, id int")
+    assert sorted(map(tuple, substring.dedup(docs).collect())) == [rows[0], (2, "x", 4, 5, 6)]
