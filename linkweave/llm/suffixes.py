@@ -6,7 +6,7 @@ equal minimizers can hold equal strings, and runs are dealt out by them. That sp
 sort of the corpus into many small ones that miss no match:
 
 1. Runs whose minimizer stands in one document only drop out.
-2. Equal runs get equal names; all but the least document's hold strings that repeat, and a run
+2. Equal runs get equal names, XXH3 hashes of their bytes under their minimizer; all but the least document's hold strings that repeat, and a run
    that is alone in its minimizer's runs, or whose minimizer has one name, needs no more.
 3. The other named runs are gathered by minimizer and their suffixes sorted with the difference
    cover {1, 2} modulo 3: sampled suffixes by triples of words, then by triples of the names
@@ -15,7 +15,9 @@ sort of the corpus into many small ones that miss no match:
    document decides.
 
 A minimizer with very many names, or very long runs, would be a large sort; their strings are named
-one by one instead, as runs are in step 2, which is exact as well.
+one by one instead, as runs are in step 2, by 128 bits. Names stand for bytes that are not compared: with
+64 bits each under one minimizer, n different runs of it hold two equal names with a probability of
+about n * n / 2**65.
 
 Documents are kept in blocks, in a table bucketed by block. A block asks the holders of its
 minimizers with packed arrays in which every key comes once, and gets back a few bits for each
@@ -31,15 +33,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, materialize, settle, texts
+from .common import forget, freeing_shuffles, give_back, materialize, texts
 
 _BASE, _OTHER = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
-_BYTES = {b: np.random.default_rng(b & 0xFFFF).integers(0, 1 << 64, 256, np.uint64) for b in (_BASE, _OTHER)}
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_BYTES = np.random.default_rng(_BASE & 0xFFFF).integers(0, 1 << 64, 256, np.uint64)
+_POWERS: list[np.ndarray] = []
 _SETTLED, _OPEN = 1, 2
 
 
@@ -63,29 +66,25 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of base and of its inverse; a worker keeps those of the largest block so far."""
-    if base not in _POWERS or len(_POWERS[base][0]) < n:
-        both = []
-        for b in (base, pow(base, -1, 1 << 64)):
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse; a worker keeps those of the largest block so far."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        _POWERS.clear()
+        for b in (_BASE, pow(_BASE, -1, 1 << 64)):
             p = np.full(n, np.uint64(b), np.uint64)
             p[:1] = 1
-            both.append(np.multiply.accumulate(p))
-        _POWERS[base] = tuple(both)
-    return _POWERS[base]
+            _POWERS.append(np.multiply.accumulate(p))
+    return _POWERS
 
 
-class Rolling:
-    """Polynomial hashes modulo 2**64 of spans of bytes."""
-
-    def __init__(self, a: np.ndarray, base: int = _BASE):
-        n = len(a)
-        up, self.down = _powers(base, n + 1)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTES[base][a] * up[:n], out=self.sums[1:])
-
-    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.sums[end] - self.sums[start]) * self.down[start]
+def gram_hashes(a: np.ndarray, gram: int) -> np.ndarray:
+    """A hash of each gram of some bytes: polynomials modulo 2**64, mixed. They only pick minimizers
+    and bring equal ones together; where two grams share a hash, names tell their runs apart."""
+    n = len(a)
+    up, down = _powers(n + 1)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_BYTES[a] * up[:n], out=sums[1:])
+    return _mix((sums[gram:] - sums[:-gram]) * down[: n - gram + 1])
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -111,10 +110,9 @@ class Block:
         none = np.zeros(0, np.int64)
         self.first = self.last = self.place = self.doc = none
         self.key = none.astype(np.uint64)
-        self.rolling = Rolling(self.bytes)
         if n < s.length:
             return
-        grams = _mix((self.rolling.sums[s.gram :] - self.rolling.sums[: -s.gram]) * self.rolling.down[: n - s.gram + 1])
+        grams = gram_hashes(self.bytes, s.gram)
         # the least hash and, among equals, the first place, in one number
         packed = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
         place = (_sliding_min(packed, w) & np.uint64(0xFFFFFFFF)).astype(np.int64)
@@ -125,7 +123,8 @@ class Block:
         first = np.flatnonzero(change & inside)
         stop = np.flatnonzero(np.concatenate([change[1:] | ~inside[1:], [True]]) & inside)
         self.first, self.last, self.place = first, stop, place[first]
-        self.doc, self.key = of[first], grams[self.place]
+        # a minimizer's hash is a low one; mixed again, keys are even over the buckets
+        self.doc, self.key = of[first], _mix(grams[self.place])
 
     def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct keys, each run's number among them, and whether a key is in two documents here."""
@@ -140,7 +139,9 @@ class Block:
         """For some runs: distinct (key, name) pairs, the least id of each, each run's number
         among them, and the first run that has the least id."""
         first, end, place = self.first[runs], self.last[runs] + self.s.length, self.place[runs]
-        name = _mix(self.rolling(first, end) + (place - first).astype(np.uint64) * np.uint64(_OTHER) + (end - first).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+        digest, text = xxhash.xxh3_64_digest, self.text
+        name = np.frombuffer(b"".join([digest(text[a:b]) for a, b in zip(first.tolist(), end.tolist(), strict=True)]), ">u8").astype(np.uint64)
+        name = _mix(name + (place - first).astype(np.uint64) * np.uint64(_OTHER))
         return _least(self.key[runs], name, self.ids[self.doc[runs]])
 
 
@@ -372,8 +373,9 @@ def _singles(block: Block, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     if not len(at):
         none = np.zeros(0, np.int64)
         return np.zeros((0, 2), np.uint64), none, none, at
-    a, b = (_mix(r(at, at + block.s.length)) for r in (block.rolling, Rolling(block.bytes, _OTHER)))
-    pairs, least, pair, _ = _least(a, b, np.repeat(block.ids[block.doc[runs]], counts))
+    digest, text, length = xxhash.xxh3_128_digest, block.text, block.s.length
+    name = np.frombuffer(b"".join([digest(text[i : i + length]) for i in at.tolist()]), ">u8").astype(np.uint64).reshape(-1, 2)
+    pairs, least, pair, _ = _least(name[:, 0], name[:, 1], np.repeat(block.ids[block.doc[runs]], counts))
     return pairs, least, pair, at
 
 
@@ -581,30 +583,34 @@ def removals(docs: DataFrame, s: Settings = Settings(), keep_text: bool = False)
     # dealt out before, so that a bucket is a file
     n_files = min(100_000, max(2 * docs.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions"))))
     table = f"linkweave_blocks_{uuid.uuid4().hex}"
-    made.repartition(n_files, "block").write.bucketBy(n_files, "block").saveAsTable(table)
-    blocks = spark.table(table)
-    text_bytes = blocks.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    # a bucket's questions take about half of the text's bytes; as many buckets as tasks, at least
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-text_bytes // (2 * s.bucket_bytes)))
-
-    shared = _round(blocks, [], _ask_shared(n), lambda kind, b: _answer_shared(b), s, "shared")
-    named = _round(blocks, [shared], _ask_named(n), lambda kind, b: _answer_named(b, s.names), s, "named")
-    known = [shared, named]
-    known.append(_round(blocks, known, _ask_sorted(n), lambda kind, b: _answer_sorted(b, s) if kind == _SORTED else _answer_named(b, s.names), s, "sorted"))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                one = batch.slice(k, 1)
-                ids = one.column(1)[0].values
-                for _, block, got in _blocks([one], s):
-                    gone = _removed(block, got, n) if len(block.first) else np.zeros(len(block.text), bool)
-                    yield _result(ids, block, gone, keep_text)
-
+    known: list[DataFrame] = []
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_text else "")
-    out = settle(_with_answers(blocks, known).mapInArrow(run, schema), "removals", *known)
-    spark.sql(f"drop table {table}")
-    return out
+    try:
+        with freeing_shuffles(spark):
+            made.repartition(n_files, "block").write.bucketBy(n_files, "block").saveAsTable(table)
+        blocks = spark.table(table)
+        text_bytes = blocks.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        # a bucket's questions take about half of the text's bytes; as many buckets as tasks, at least
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-text_bytes // (2 * s.bucket_bytes)))
+
+        known.append(_round(blocks, known, _ask_shared(n), lambda kind, b: _answer_shared(b), s, "shared"))
+        known.append(_round(blocks, known, _ask_named(n), lambda kind, b: _answer_named(b, s.names), s, "named"))
+        known.append(_round(blocks, known, _ask_sorted(n), lambda kind, b: _answer_sorted(b, s) if kind == _SORTED else _answer_named(b, s.names), s, "sorted"))
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    one = batch.slice(k, 1)
+                    ids = one.column(1)[0].values
+                    for _, block, got in _blocks([one], s):
+                        gone = _removed(block, got, n) if len(block.first) else np.zeros(len(block.text), bool)
+                        yield _result(ids, block, gone, keep_text)
+
+        return materialize(_with_answers(blocks, known).mapInArrow(run, schema), "removals")
+    finally:
+        for answers in known:
+            forget(answers)
+        spark.sql(f"drop table if exists {table}")
 
 
 def _result(ids: pa.Array, block: Block, gone: np.ndarray, keep_text: bool) -> pa.RecordBatch:

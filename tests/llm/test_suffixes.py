@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from linkweave.llm import suffixes
 from linkweave.llm.suffixes import Settings
@@ -86,3 +87,22 @@ def test_repeated_null_and_no_rows(spark):
     got = suffixes.removals(docs, keep_text=True).collect()
     assert sorted((r.doc_id or 0, r.n_removed, bytes(r.kept).decode()) for r in got) == [(0, 0, text), (0, 0, text), (1, 0, text), (1, 0, text), (2, len(text), "")]
     assert suffixes.removals(docs.limit(0)).collect() == []
+
+
+def test_alternating_letters(spark):
+    """Texts whose polynomials agree modulo a power of two, whatever the base."""
+    def word(a, b, n):
+        return "".join(a if bin(i).count("1") % 2 == 0 else b for i in range(n))
+
+    rows = [(1, word("a", "b", 4096)), (2, word("b", "a", 4096)), (3, word("a", "c", 3000)), (4, "z" + word("b", "a", 80)), (5, word("ab", "ba", 600))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    for s in (Settings(), Settings(names=1)):
+        assert sorted(map(tuple, suffixes.removals(docs, s).collect())) == sorted(brute(rows, s.length))
+
+
+def test_buckets_are_even():
+    rnd = np.random.default_rng(3)
+    text = bytes(rnd.integers(97, 123, 400_000, np.uint8))
+    block = suffixes.Block(pa.array([1]), np.array([len(text)]), text, Settings())
+    counts = np.bincount(suffixes._bucket(np.unique(block.key), 64), minlength=64)
+    assert counts.max() < 1.5 * counts.mean() and counts.min() > 0.5 * counts.mean()
