@@ -18,7 +18,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -196,7 +196,7 @@ def _border_states(turns: DataFrame, kind: str, s: Settings) -> DataFrame:
             yield _row((conv, up, sum(m, [])), kind)
 
     schema = f"conv_id {kind}, chunk long, cost array<long>"
-    # a chunk is the number of its first turn over chunk_turns; levels go on until none has two
+    # levels go on until no conversation has two chunks
     at = roles.repartition("conv_id", "chunk").sortWithinPartitions("conv_id", "chunk", "place", "tie").drop("tie").mapInArrow(chunks, schema)
     levels = [materialize(at, "chat-level")]
     while True:
@@ -247,22 +247,26 @@ def _row(row: tuple, kind: str) -> pa.RecordBatch:
 def repaired(turns: DataFrame, s: Settings = Settings()) -> DataFrame:
     """Repair and render every conversation of turns (conv_id, turn, role, text).
 
-    One row per conversation and chunk of turns, so one row for all but very long conversations:
-    conv_id, segment, n_turns, n_out (turns it opens, with inserted ones), cost, merges, relabels,
-    inserts, rendered. The segments of a conversation, joined in order, are its rendering.
+    One row per conversation of up to s.chunk_turns turns; a longer one comes in several segments, of
+    as many turns at most: conv_id, segment, n_turns, n_out (turns it opens, with inserted ones), cost,
+    merges, relabels, inserts, rendered. The segments of a conversation, joined in the order of their
+    numbers, which ascend but have gaps, are its rendering.
 
     Turns go by turn number, then role and text; a null number comes last; repeated rows are turns
     of their own. A null text is empty. An unknown or null role costs less to relabel. Null conv_ids
     form one conversation. No rows: no rows. Markers within texts are escaped; other columns are not
-    read.
+    read. However many rows have one conversation or turn number, no task holds more than a chunk.
     """
     kind = "bigint" if turns.schema["conv_id"].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint") else "string"
     place = F.coalesce(F.col("turn").cast("long"), F.lit((1 << 63) - 1))
-    rows = turns.select(F.col("conv_id").cast(kind).alias("conv_id"), F.floor(place / s.chunk_turns).alias("chunk"), place.alias("place"), "role", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("tie", F.struct(F.coalesce("role", F.lit("")), F.xxhash64("text")))  # one order in all passes
-    states = _border_states(rows, kind, s)
+    rows = turns.select(F.col("conv_id").cast(kind).alias("conv_id"), place.alias("place"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("tie", F.struct(F.coalesce("role", F.lit("")), F.xxhash64("text")))
+    sizes = rows.groupBy("conv_id").agg(F.count("*").alias("n")).where(F.col("n") > s.chunk_turns)
+    sizes = materialize(sizes.select(F.col("conv_id").alias("conv0")), "chat-long")
+    same = F.col("conv_id").eqNullSafe(F.col("conv0"))
+    rows, states = _placed(rows, sizes, same, kind, s)
     states = states.select(F.col("conv_id").alias("conv0"), F.col("chunk").alias("chunk0"), "entry", "leave", "last")
-    joined = rows.join(states, F.col("conv_id").eqNullSafe(F.col("conv0")) & (F.col("chunk") == F.col("chunk0")), "left")
+    joined = rows.join(states, same & (F.col("chunk") == F.col("chunk0")), "left")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
@@ -287,6 +291,23 @@ def repaired(turns: DataFrame, s: Settings = Settings()) -> DataFrame:
     return ordered.mapInArrow(run, f"conv_id {kind}, segment long, n_turns long, n_out long, cost long, merges long, relabels long, inserts long, rendered string")
 
 
+def _placed(rows: DataFrame, sizes: DataFrame, same: Column, kind: str, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """rows with their chunk, and the states at the borders of long conversations' chunks.
+
+    Long conversations are sorted across tasks, by row where all else is alike, and cut by position.
+    """
+    short = rows.join(sizes, same, "left_anti").select("conv_id", F.lit(0).cast("long").alias("chunk"), "place", "tie", "role", "text")
+    if sizes.isEmpty():
+        return short, rows.sparkSession.createDataFrame([], f"conv_id {kind}, chunk long, entry long, leave long, last boolean")
+    order = ["conv_id", "place", "tie", "row"]
+    dealt = rows.join(sizes, same, "left_semi").withColumn("row", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    # numbers ascend through partitions, and a partition's first one is a multiple of any power of two
+    step = 1 << (s.chunk_turns.bit_length() - 1)
+    numbered = dealt.select("conv_id", F.monotonically_increasing_id().alias("place"), "tie", "role", "text")
+    long = materialize(numbered.select("conv_id", F.floor(F.col("place") / step).alias("chunk"), "place", "tie", "role", "text"), "chat-chunks")
+    return short.unionByName(long), _border_states(long, kind, s)
+
+
 def _batch(rows: list[tuple], kind: str) -> pa.RecordBatch:
     kinds = [_type(kind), *[pa.int64()] * 7, pa.string()]
     names = ["conv_id", "segment", "n_turns", "n_out", "cost", "merges", "relabels", "inserts", "rendered"]

@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+from collections import Counter
 
 from linkweave.llm import chat
 from linkweave.llm.chat import ROLES, Settings
@@ -96,3 +97,26 @@ def test_edges(spark):
     assert legal(parse(got[5].rendered)[0]) and parse(got[6].rendered) == ([2, 3], ["same", "same"]) and got[6].cost == 4
     assert len(got[7].rendered) > 200000 and got[7].cost == 0
     assert chat.repaired(turns.limit(0)).collect() == []
+
+
+def test_turn_numbers_do_not_matter(spark):
+    """A short conversation is one row whatever its numbers; very many rows at one number are cut."""
+    rows = [(1, t, r, "x") for t, r in zip(range(510, 514), ["user", "assistant"] * 2)]
+    rows += [(2, 10**12 * t, r, "y") for t, r in zip(range(4), ["user", "assistant"] * 2)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.repaired(turns).collect()}
+    assert set(got) == {1, 2} and got[1].n_turns == got[2].n_turns == 4 and got[1].cost == 0
+    many = spark.range(20000).selectExpr("cast(null as long) as conv_id", "cast(null as long) as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "'t' as text")
+    one = spark.range(20000).selectExpr("3L as conv_id", "7L as turn", "'user' as role", "cast(id % 3 as string) as text")
+    got = chat.repaired(turns.unionByName(many).unionByName(one)).collect()
+    assert max(r.n_turns for r in got) <= 512
+    assert Counter({k: sum(r.n_turns for r in got if r.conv_id == k) for k in (None, 1, 2, 3)}) == Counter({None: 20000, 1: 4, 2: 4, 3: 20000})
+    for k in (None, 3):
+        own = sorted((r for r in got if r.conv_id == k), key=lambda r: r.segment)
+        assert len({r.segment for r in own}) == len(own) >= 40
+        whole = "".join(r.rendered for r in own)
+        roles, bodies = parse(whole)
+        assert legal(roles) and len(roles) == sum(r.n_out for r in own)
+        order = [2] * 20000 if k else [3] * 10000 + [2] * 10000  # assistant before user
+        cost, _, state = chat.repair(order, chat.START, None, Settings())
+        assert sum(r.cost for r in own) == cost + chat.ending(state, Settings())[0]
