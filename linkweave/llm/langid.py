@@ -12,18 +12,19 @@ depends on buckets and languages only; prediction is a mean of its rows over the
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batched
 
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+#: a letter, as str.isalpha has it: marks, digits and numbers of any kind are none
+LETTER = regex.compile(r"\p{L}")
 _EDGE = 32
 
 
@@ -224,3 +225,19 @@ def predict(docs: DataFrame, m: Model, keep: tuple[str, ...] = ("doc_id",), name
     for name, kind in zip(names, ("string", "double", "boolean"), strict=True):
         out = out.add(name, kind)
     return docs.select(*columns).mapInArrow(batched(run, 1 << 20), out)
+
+
+def accepted(docs: DataFrame, m: Model) -> DataFrame:
+    """The rows of docs whose text the model accepts, with all their columns, whatever their names.
+
+    A model without labels knows no language to reject by: then every row whose text has a letter.
+    """
+    place = docs.columns.index("text")
+    shared = docs.sparkSession.sparkContext.broadcast(m)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = batch.column(place).to_pylist()
+        good = classify(found, shared.value)[2] if shared.value.labels else [bool(t and LETTER.search(t)) for t in found]
+        return batch.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(batched(run, 1 << 20), docs.schema)

@@ -1,7 +1,9 @@
 """Language identification: held-out accuracy and edge rows."""
 
+import math
 import zlib
 
+import numpy as np
 from linkweave.llm import langid
 from linkweave.llm.queries import op6_language
 
@@ -60,3 +62,42 @@ def test_subwords_by_brute_force():
             want += sum(max(0, len(w) - k + 1) for k in s.grams)
         assert n == want
     assert at == len(ids)
+
+
+def test_numbers_are_no_letters(spark):
+    docs = spark.createDataFrame([(i, "the cat sat", "en") for i in range(20)] + [(i, "der hund lag", "de") for i in range(20, 40)], "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    odd = ["½ ² Ⅷ", "ⅷ", "①②", "٣", "_", "\u0301", "ª", "x", "字"]
+    got = {t: p for t, p in zip(odd, langid.classify(odd, model)[0])}
+    assert {t for t, p in got.items() if p == "und"} == {t for t in odd if not any(c.isalpha() for c in t)} == set(odd[:6])
+
+
+def test_descent_by_hand():
+    """Two texts, two passes: embeddings and weights after steps written out number by number."""
+    s = langid.Settings(buckets=8, dims=3, epochs=2, rate=0.5, seed=3)
+    rows = [(np.array([1, 5]), np.array([0.25, 0.75], np.float32), "b"), (np.array([2]), np.array([1.0], np.float32), "a")]
+    got = langid.fit(rows, s)
+    rng = np.random.default_rng(3)
+    rows = [rows[i] for i in rng.permutation(2)]
+    e = rng.normal(0, 1 / 3, (8, 3)).astype(np.float32).tolist()
+    w, bias, order, done = [[0.0] * 2 for _ in range(3)], [0.0] * 2, np.arange(2), 0
+    for _ in range(2):
+        rng.shuffle(order)
+        for i in order:
+            ids, share, lang = rows[i]
+            rate = 0.5 * (1 - done / 4)
+            done += 1
+            x = [sum(p * e[k][d] for k, p in zip(ids, share)) for d in range(3)]
+            z = [sum(x[d] * w[d][c] for d in range(3)) + bias[c] for c in range(2)]
+            p = [math.exp(v) / sum(map(math.exp, z)) for v in z]
+            p["ab".index(lang)] -= 1
+            back = [sum(w[d][c] * p[c] for c in range(2)) for d in range(3)]
+            for d in range(3):
+                for c in range(2):
+                    w[d][c] -= rate * x[d] * p[c]
+                for k, q in zip(ids, share):
+                    e[k][d] -= rate * q * back[d]
+            for c in range(2):
+                bias[c] -= 0.1 * rate * p[c]
+    want = [[sum(e[k][d] * w[d][c] for d in range(3)) for c in range(2)] for k in range(8)]
+    assert got.labels == ("a", "b") and np.allclose(got.table, want, atol=1e-5) and np.allclose(got.bias, bias, atol=1e-6)
