@@ -51,8 +51,15 @@ def statistics(text: Column) -> dict[str, Column]:
     def per(x: Column, total: Column) -> Column:
         return F.when(total > 0, x.cast("double") / total).otherwise(0.0)
 
-    def count(pattern: str) -> Column:
-        return F.regexp_count(t, F.lit(pattern))
+    # characters are counted by what is left without them; a list of matches would hold one string each
+    def count(kind: str) -> Column:
+        return F.length(t) - F.length(F.regexp_replace(t, f"{kind}+", ""))
+
+    def count_of(char: str) -> Column:
+        return F.length(t) - F.length(F.replace(t, F.lit(char), F.lit("")))
+
+    def matches(pattern: str) -> Column:
+        return F.length(F.regexp_replace(t, pattern, "$0|")) - F.length(t)
 
     return {
         "chars": n,
@@ -60,13 +67,13 @@ def statistics(text: Column) -> dict[str, Column]:
         "capitals": per(count(r"\p{Lu}"), n),
         "digits": per(count(r"\p{Nd}"), n),
         "symbols": per(count(r"[#$%&*@^~<>{}=+\\_]"), n),
-        "bars": per(count(r"\|"), n),
+        "bars": per(count_of("|"), n),
         "shouts": per(count(r"[!?]"), n),
         "stops": per(count(r"[.,;:]"), n),
-        "lines": per(count(r"\n"), n),
+        "lines": per(count_of("\n"), n),
         "word_length": per(n, n_words),
         "distinct": per(F.size(F.array_distinct(words)), n_words),
-        "repeats": per(count(r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]++)(?=[\x20\x09-\x0D]\1(?![^\x20\x09-\x0D]))"), n_words),
+        "repeats": per(matches(r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]++)(?=[\x20\x09-\x0D]\1(?![^\x20\x09-\x0D]))"), n_words),
     }
 
 

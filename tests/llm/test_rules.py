@@ -1,9 +1,12 @@
 """Rule ensemble: held-out accuracy, the compiled expression against Python, edge rows."""
 
 import math
+import random
 import re
+import unicodedata
 import zlib
 
+import numpy as np
 from linkweave.llm import rules
 from linkweave.llm.queries import op9_quality
 
@@ -67,3 +70,47 @@ def test_sampling_keeps_the_ratio(spark):
     for most in (150, 3000):
         model = rules.train(docs, labels, rules.Settings(per_class=most, trees=5, penalty=0.02))
         assert abs(rules.score(docs, model).agg({"score": "avg"}).first()[0] - 5 / 6) < 0.08
+
+
+def test_lasso_by_its_conditions():
+    """At the minimum the loss's gradient, summed row by row, is the penalty against each weight's sign, at
+    most the penalty where the weight is nought, and nothing for the bias."""
+    rnd = random.Random(6)
+    r = [[rnd.randrange(2) for _ in range(5)] for _ in range(80)]
+    y = [int(rnd.random() < (0.85 if a[0] and not a[1] else 0.25)) for a in r]
+    u = [2.0 if t else 0.5 for t in y]
+    u = [v * len(u) / sum(u) for v in u]
+    penalty = 0.05
+    bias, w = rules._lasso(np.array(r, float), np.array(y, float), rules.Settings(steps=20000, penalty=penalty), np.array(u))
+    slope = [0.0] * 6
+    for row, t, v in zip(r, y, u):
+        p = 1 / (1 + math.exp(-(bias + sum(a * b for a, b in zip(row, w)))))
+        for k, a in enumerate([1, *row]):
+            slope[k] += v * (p - t) * a / len(y)
+    assert abs(slope[0]) < 1e-6
+    assert any(w) and not all(w)
+    for g, b in zip(slope[1:], w):
+        assert abs(g + penalty * (1 if b > 0 else -1)) < 1e-6 if b else abs(g) <= penalty + 1e-6
+
+
+def test_counts_by_hand_and_repeated_rows(spark):
+    texts = ["Ab|c ab AB!? the the  the | a.b,;: #$%\\_ 12 ٣", "x x\nx\tx xy x", "|||", "...", "$0 $1 \\1", "ǅ ª º"]
+    docs = spark.createDataFrame([(1, t) for t in texts * 2], "doc_id long, text string")
+    from pyspark.sql import functions as F
+
+    got = {r.text: r for r in docs.select("text", *[c.alias(k) for k, c in rules.statistics(F.col("text")).items()]).collect()}
+    for t, r in got.items():
+        n, words = len(t), re.findall(r"[^\x20\x09-\x0D]+", t)
+        want = {
+            "letters": sum(unicodedata.category(c)[0] == "L" for c in t), "capitals": sum(unicodedata.category(c) == "Lu" for c in t),
+            "digits": sum(unicodedata.category(c) == "Nd" for c in t), "symbols": sum(c in "#$%&*@^~<>{}=+\\_" for c in t),
+            "bars": t.count("|"), "shouts": sum(c in "!?" for c in t), "stops": sum(c in ".,;:" for c in t), "lines": t.count("\n"),
+        }
+        for k, v in want.items():
+            assert math.isclose(r[k], v / n), (t, k)
+        tokens = re.split(r"([\x20\x09-\x0D]+)", t)
+        twice = sum(tokens[i] == tokens[i + 2] != "" and len(tokens[i + 1]) == 1 for i in range(0, len(tokens) - 2, 2))
+        assert math.isclose(r.repeats, twice / len(words)), t
+    model = rules.Model(math.log(0.7 / 0.3), ())
+    scored = rules.score(docs, model).collect()
+    assert len(scored) == 12 and {r.predicted for r in scored} == {int(1 / (1 + math.exp(-model.bias)) >= 0.7)}
