@@ -72,3 +72,21 @@ def test_edges(spark):
     assert mixing.mix(docs.limit(0)).collect() == []
     one = mixing.mix(docs.where("doc_id = 3")).collect()
     assert len(one) == 2
+
+
+def test_columns_named_like_helpers(spark):
+    names = ["row", "name", "none", "id", "hash", "total", "rows", "weight", "epochs", "blocks", "span", "u", "range", "sum", "before", "within", "t", "block", "__u", "__range", "__epochs"]
+    rows = [(i, "a b c", "s%d" % (i % 2), *range(len(names))) for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    got = mixing.mix(docs)
+    assert got.columns == [*docs.columns, "__epoch", "__block", "__tokens", "__weight"]
+    plain = mixing.mix(docs.select("doc_id", "text", "source")).collect()
+    assert sorted(r[:3] for r in map(tuple, got.collect())) == sorted(r[:3] for r in map(tuple, plain))
+    inner = mixing.place(docs).select("row.*")
+    assert inner.columns == docs.columns and {tuple(r) for r in inner.collect()} == set(rows)
+
+
+def test_a_tiny_source_goes_through_very_many_epochs(spark):
+    rows = [(1, "x", "tiny", 1), *[(2 + i, "w " * 30, "big", 1) for i in range(100)]]
+    got = mixing.mix(spark.createDataFrame(rows, SCHEMA), Settings(entropy=1.0, repeats=None)).groupBy("doc_id").count().collect()
+    assert {r.doc_id: r["count"] for r in got} == {1: 3000, **{2 + i: 1 for i in range(100)}}

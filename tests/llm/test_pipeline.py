@@ -104,3 +104,47 @@ def test_unrelated_texts_under_one_id(spark):
     for found in (docs, docs.orderBy("lang", "text"), docs.orderBy(docs.lang.desc(), docs.text.desc())):
         got = corpus_pipeline.drop_near_copies(spark, found, "")
         assert sorted(map(tuple, got.collect())) == [(4, three, "en", "s", 1), (5, one, "de", "r", 1), (5, two, "en", "s", 1)]
+
+
+def test_near_copies_and_what_follows(spark):
+    """The near-copy stage against all pairs by five-word Jaccard, the later stages on what it keeps."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").cache()
+    _, two, three, four, five = (s[1] for s in corpus_pipeline.STAGES)
+    sets = {}
+    for r in docs.collect():
+        words = r.text.encode().lower().split()
+        sets[r.doc_id] = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+    label = {d: d for d in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if label[a] != label[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                low, high = sorted((label[a], label[b]))
+                label = {d: low if x == high else x for d, x in label.items()}
+    heads = two(spark, docs, sf).cache()
+    assert sorted(r.doc_id for r in heads.collect()) == sorted(set(label.values())) and len(set(label.values())) < len(sets)
+
+    cut = three(spark, heads, sf).cache()
+    assert cut.columns == COLUMNS
+    got = {r.doc_id: hashlib.sha256(" ".join(r.text.split()).encode()).hexdigest() for r in cut.collect()}
+    assert got == {d: sha for d, _, _, sha in windows([(r.doc_id, r.text) for r in heads.collect()])}
+    mixed = four(spark, cut, sf).cache()
+    shown = Counter(r.doc_id for r in mixed.collect())
+    assert mixed.columns == COLUMNS and set(shown) == set(got) and set(shown.values()) <= {1, 2}
+    check([(r.doc_id, r.text) for r in mixed.collect()], five(spark, mixed, sf).collect())
+
+
+def test_columns_named_like_helpers(spark):
+    from pyspark.sql import functions as F
+
+    names = ["__tokens", "__u", "__range", "__epoch", "__total", "__spans", "__doc_id", "__lang", "__score", "__accepted", "__hash", "__n", "__row", "row", "id", "hash", "rest", "name", "none", "__group", "__text"]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40)
+    odd = docs.select("*", *[F.lit(i).alias(c) for i, c in enumerate(names)]).cache()
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        plain, got = stage(spark, docs, ""), stage(spark, odd, "")
+        assert got.columns == odd.columns
+        assert sorted(map(tuple, got.select(*COLUMNS).collect())) == sorted(map(tuple, plain.collect()))
+        assert all(tuple(r)[5:] == tuple(range(len(names))) for r in got.collect())
+    packed = corpus_pipeline.STAGES[-1][1]
+    digest = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    assert sorted(map(tuple, packed(spark, odd, "").select(*digest).collect())) == sorted(map(tuple, packed(spark, docs, "").select(*digest).collect()))
