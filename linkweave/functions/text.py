@@ -148,7 +148,7 @@ def split_words(c: Column) -> Column:
 
 
 @cache
-def _latin_named() -> str:
+def latin_named() -> str:
     """A class of the code points from 0x80 whose Unicode name starts with LATIN."""
     spans: list[list[int]] = []
     for i in range(0x80, 0x30000):
@@ -163,7 +163,7 @@ def _latin_named() -> str:
 def script_class(c: Column) -> Column:
     """0: ASCII only; 1: all else has a LATIN name; 2: otherwise."""
     t = _text(c)
-    return F.when(~t.rlike(r"[^\x00-\x7F]"), 0).when(t.rlike(rf"[^\x00-\x7F{_latin_named()}]"), 2).otherwise(1)
+    return F.when(~t.rlike(r"[^\x00-\x7F]"), 0).when(t.rlike(rf"[^\x00-\x7F{latin_named()}]"), 2).otherwise(1)
 
 
 def script(c: Column) -> Column:

@@ -19,7 +19,7 @@ def _finding(rows: DataFrame, column: str, rule: str, severity: str = "error") -
 
 
 def lists(rows: DataFrame, known_ids: DataFrame | None = None, required: DataFrame | None = None) -> DataFrame:
-    """Findings on (key, ids): ids comma-joined, null for a line without a tab.
+    """Findings on (key, ids): ids comma-joined, null for a line without a tab; such a line that is blank is no fault.
 
     known_ids: (id), the pool's; without it ids are not looked up. required: (id), the query ids, of
     which each must come once.
@@ -28,7 +28,7 @@ def lists(rows: DataFrame, known_ids: DataFrame | None = None, required: DataFra
     each = good.select("key", F.explode(F.filter(F.split("ids", ","), lambda x: F.trim(x) != "")).alias("raw")).select("key", F.trim("raw").alias("id"))
     repeated = each.groupBy("key", "id").agg(F.count("*").alias("n")).where("n > 1")
     findings = [
-        _finding(rows.where("ids is null"), "key", "malformed_row"),
+        _finding(rows.where(F.col("ids").isNull() & ~F.coalesce("key", F.lit("-")).rlike(r"^\s*$")), "key", "malformed_row"),
         _finding(good.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key", "duplicate_key"),
         _finding(repeated, "key", "duplicate_id_in_list"),
         _finding(each.where(F.col("id").startswith("S1-")), "id", "self_match"),
@@ -45,10 +45,10 @@ def lists(rows: DataFrame, known_ids: DataFrame | None = None, required: DataFra
 
 
 def header(line: str | None, names: tuple[str, str]) -> list[tuple[str, str]]:
-    """What is wrong with a file's first line: (rule, severity)."""
+    """What is wrong with a file's first line: (rule, severity). Case and outer spaces don't matter."""
     if line is None:
         return [("empty_file", "error")]
-    if line == "\t".join(names):
+    if [c.strip().lower() for c in line.split("\t")] == list(names):
         return []
     if "\t" not in line and "," in line:
         return [("comma_separated", "error")]

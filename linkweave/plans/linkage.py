@@ -17,6 +17,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml import PipelineModel
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -135,16 +136,23 @@ def rescore(spark: SparkSession, run: str, s1: DataFrame, pool: DataFrame, spec:
 
 
 def check_files(spark: SparkSession, matches: str, candidates: str | None, s1: DataFrame | None, pool: DataFrame | None) -> DataFrame:
-    """Findings on result files: their headers, lines, ids, and that matches were candidates."""
+    """Findings on result files: their headers, lines, ids, and that matches were candidates. Of a file
+    that is missing, empty or has another header nothing else is looked at."""
     findings, pairs = [], []
     for path, names in ((matches, R.MATCHES), (candidates, R.CANDIDATES)):
         if path is None:
             continue
-        lines = R.read_lines(spark, path, names)
-        first = spark.read.text(path).limit(1).collect()
-        wrong = validate.header(first[0].value if first else None, names)
+        try:
+            lines = R.read_lines(spark, path, names)
+            first = spark.read.text(path).limit(1).collect()
+            wrong = validate.header(first[0].value if first else None, names)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            wrong = [("missing_file", "error")]
         if wrong:
             findings.append(spark.createDataFrame([(r, sev, 1, [path]) for r, sev in wrong], "rule string, severity string, n long, examples array<string>"))
+            continue
         body = lines.where("not is_header").select("key", "ids")
         need = None if s1 is None else s1.select(F.col("entity_id").alias("id"))
         known = None if pool is None else pool.select(F.col("entity_id").alias("id"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,7 +91,7 @@ def token_lists(spark, sf):
 
 @query(rf"with {S.ENTITIES} select country, {S.script('name')} as script, count(*) as n, "
        rf"avg(regexp_matches(name, '[^\x00-\x7F]')::int::double) as not_ascii, avg(regexp_matches(name, '[\x{{0900}}-\x{{0D7F}}]')::int::double) as indic, "
-       rf"sum(case when not regexp_matches(name, '[^\x00-\x7F]') then 0 when regexp_matches(name, '[^\x00-\x7F{X._latin_named()}]') then 2 else 1 end)::bigint as class_sum from ent group by all")
+       rf"sum(case when not regexp_matches(name, '[^\x00-\x7F]') then 0 when regexp_matches(name, '[^\x00-\x7F{X.latin_named()}]') then 2 else 1 end)::bigint as class_sum from ent group by all")
 def script_mix(spark, sf):
     """Scripts of names by country."""
     e = _entities(spark, sf)
@@ -286,8 +287,10 @@ def _sim(a, b):
     return S.jaccard(a, b)
 
 
+_STRIPPED = S.strip("{0}.n", X.LEGAL_FORMS)
 _FEATURE_SQL = {
     "nexact": "(x.n <> '' and x.n = y.n)::int::double",
+    "nexact_suf": f"({_STRIPPED.format('x')} <> '' and {_STRIPPED.format('x')} = {_STRIPPED.format('y')})::int::double",
     "nexact_fold": "(x.n <> '' and x.fk = y.fk)::int::double",
     "pref4_eq": "(length(x.n) >= 4 and length(y.n) >= 4 and x.n[1:4] = y.n[1:4])::int::double",
     "tok_cont": "coalesce(len(list_intersect(x.nt, y.nt))::double / nullif(len(x.nt), 0), 0)",
@@ -299,6 +302,9 @@ _FEATURE_SQL = {
     "shared_num2": "list_has_any(x.tm, y.tm)::int::double",
     "shared_num3": r"list_has_any(regexp_extract_all(x.a, '\d{3,}'), regexp_extract_all(y.a, '\d{3,}'))::int::double",
     "both_num": "(len(x.tm) > 0 and len(y.tm) > 0)::int::double",
+    "sc_A": S.script_class("x.n"),
+    "sc_B": S.script_class("y.n"),
+    "sc_diff": f"({S.script_class('x.n')} <> {S.script_class('y.n')})::int::double",
     "lendiff": "abs(length(x.n) - length(y.n))::double / (length(x.n) + length(y.n) + 1)",
     "country_eq": "(coalesce(x.country, '') = coalesce(y.country, ''))::int::double",
     "n_char2_jacc": _sim(S.grams("x.n", 2), S.grams("y.n", 2)),
@@ -324,6 +330,21 @@ def features_native(spark, sf):
     return got.select("s1_id", "cand_id", "y", *[F.round(F.col(k).cast("double"), 5).alias(k) for k in _FEATURE_SQL])
 
 
+@query(f"""with {S.PREPARED}, {S.eval_pairs(NEGATIVES, SEED)}, given as (
+    select s1_id, cand_id from ep where y = 0 union all select s1_id, cand_id || '-gone' from ep where y = 0
+    union all select s1_id || '-gone', cand_id from ep where y = 1
+), sided as (select 'cand_id' as side, cand_id as entity_id from given union all select 's1_id', s1_id from given)
+select side, count(*) as n_pairs, count(*) filter (where p.entity_id is null) as n_absent, count(*) filter (where p.n = '' and p.a = '') as n_blank
+from sided left join prep p using (entity_id) group by side""")
+def absent_texts(spark, sf):
+    """J-04: pairs whose side has no text, over drawn pairs, the same with unknown candidates, and true pairs with unknown query entities."""
+    s1, pool = _sides(spark, sf)
+    ep = _eval_pairs(s1, pool)
+    drawn, true, gone = ep.where("y = 0"), ep.where("y = 1"), F.lit("-gone")
+    given = [drawn.select("s1_id", "cand_id"), drawn.select("s1_id", F.concat("cand_id", gone).alias("cand_id")), true.select(F.concat("s1_id", gone).alias("s1_id"), "cand_id")]
+    return FT.absent(reduce(DataFrame.unionByName, given), s1, pool)
+
+
 @query()
 def features_all(spark, sf):
     """All 36 features on true and drawn pairs."""

@@ -43,6 +43,11 @@ def script(c: str) -> str:
     return SCRIPT.replace("{c}", c)
 
 
+def script_class(c: str) -> str:
+    far = r"[^\x00-\x7F"
+    return f"case when not regexp_matches({c}, '{far}]') then 0 when regexp_matches({c}, '{far}{X.latin_named()}]') then 2 else 1 end"
+
+
 ENTITIES = r"""
 ent as (
     select 'S' || (s + 1) || '-' || doc_id as entity_id, array_to_string(t[1:6], ' ') as name,

@@ -47,11 +47,13 @@ def write_lists(lists: DataFrame, path: str) -> None:
 
 
 def read_lines(spark: SparkSession, path: str, names: tuple[str, str]) -> DataFrame:
-    """A result file as it is: (line, is_header, well_formed, key, ids), split at the first tab."""
+    """A result file as it is: (line, is_header, well_formed, key, ids), split at the first tab.
+    A header may differ in case and outer spaces."""
     text = spark.read.text(path).select(F.col("value").alias("line"))
     at = F.instr("line", "\t")
     key = F.when(at > 0, F.left(F.col("line"), at - 1)).otherwise(F.col("line"))
-    return text.select("line", (F.col("line") == "\t".join(names)).alias("is_header"), (at > 0).alias("well_formed"), F.trim(key).alias("key"), F.when(at > 0, F.substr("line", at + 1)).alias("ids"))
+    titles = F.transform(F.split("line", "\t"), lambda x: F.lower(F.regexp_replace(x, r"(?U)^\s+|\s+$", "")))
+    return text.select("line", (titles == F.array(*map(F.lit, names))).alias("is_header"), (at > 0).alias("well_formed"), F.trim(key).alias("key"), F.when(at > 0, F.substr("line", at + 1)).alias("ids"))
 
 
 def first_column(spark: SparkSession, path: str) -> DataFrame:

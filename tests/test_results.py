@@ -2,6 +2,7 @@
 
 import pytest
 from linkweave.operators import features, labels, metrics, postproc, validate
+from linkweave.plans import linkage
 from linkweave.sources import entities as E
 from linkweave.sources import results as R
 from linkweave.sources import stages
@@ -125,3 +126,24 @@ def test_features_of_edge_rows(spark):
     assert (three.nratio, three.a_lendiff, three.both_num, three.pref4_eq) == (0, pytest.approx(4 / 7), 0, 0)
     strict = features.featurize(pairs, spark.createDataFrame(rows, schema), spark.createDataFrame(other, schema), ("country_eq",), null_country_equal=False)
     assert {r.s1_id: r.country_eq for r in strict.collect()} == {"q1": 0, "q2": 1, "q3": 1}
+
+
+def test_absent_texts(spark):
+    s1 = spark.createDataFrame([("S1-1", "a", "b"), ("S1-2", "", None), (None, "x", "y")], "entity_id string, name string, address string")
+    pool = spark.createDataFrame([("S2-1", "a", ""), ("S2-1", "", "")], s1.schema)
+    pairs = spark.createDataFrame([("S1-1", "S2-1"), ("S1-1", "S2-1"), ("S1-2", "S2-9"), ("S1-9", None), (None, "S2-1")], "s1_id string, cand_id string")
+    found = {r.side: (r.n_pairs, r.n_absent, r.n_blank) for r in features.absent(pairs, s1, pool).collect()}
+    assert found == {"s1_id": (5, 2, 1), "cand_id": (5, 2, 0)}
+    assert features.absent(pairs.limit(0), s1, pool).collect() == []
+
+
+def test_files_that_are_no_lists(spark, tmp_path):
+    def rules(text=None, at="matches.tsv"):
+        if text is not None:
+            (tmp_path / at).write_text(text)
+        return sorted(r.rule for r in linkage.check_files(spark, str(tmp_path / at), None, None, None).collect())
+
+    head = "\t".join(R.MATCHES)
+    assert rules(at="none.tsv") == ["missing_file"] and rules("") == ["empty_file"]
+    assert rules("a\tb\nno tab\nS1-1\tS1-2\n") == ["bad_header"] and rules("a,b\nno tab\n") == ["comma_separated"]
+    assert rules(f" {head.upper()} \nS1-1\tS2-1\n\n  \n") == [] and rules(f"{head}\nS1-1\n\n") == ["malformed_row"]
