@@ -5,8 +5,10 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 from linkweave.operators import blocking as B
+from linkweave.plans.queries import ORACLES, QUERIES
 
 WORDS = "ACME GLOBAL TRADE NORTH SOUTH RIVER STONE LTD 12 34 560 MAIN ROAD PARK".split()
 SCHEMA = "entity_id string, name string, address string, country string"
@@ -103,3 +105,27 @@ def test_autopsy_covers_every_true_pair(spark):
     chosen = restated(queries, pool, b)
     assert all((r.reason == "covered") == (r.cand_id in chosen.get(r.s1_id, ())) for r in got)
     assert len(Counter(r.reason for r in got)) > 1
+
+
+def test_entities_with_pair_keys_only(spark):
+    pool = [(f"S2-{i}", t, None, c) for i, (t, c) in enumerate([("RIVER STONE", "US"), ("RIVER PARK", "US"), ("STONE PARK", "FR"), ("MAIN", "US")])]
+    queries = [("S1-0", "STONE RIVER", None, "US"), ("S1-1", "STONE RIVER", None, "FR"), ("S1-2", "MAIN", None, "FR"), ("S1-3", "ROAD", None, "US")]
+    s1, rest = spark.createDataFrame(queries, SCHEMA), spark.createDataFrame(pool, SCHEMA)
+
+    def found(**given):
+        return {r.s1_id: r.cands for r in B.candidates_by(s1, rest, (1,), solo_only=True, b=B.Blocking(**given)).collect()}
+
+    assert found() == {"S1-0": [], "S1-1": [], "S1-2": ["S2-3"]}
+    assert found(by_country=True) == {"S1-0": []}
+    assert found(solo_only=True) == {"S1-2": ["S2-3"]}
+
+
+def test_solo_budget_counts_entities_as_its_sql(spark, tmp_path):
+    texts = ["river stone", *["stone north"] * 51, *["river north"] * 51, "stone of river"]
+    rows = [(i, t, "en", f"src{min(i, 1)}", 7 if i else 8) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(ORACLES["budget_recall_solo"]).fetchall()
+    got = QUERIES["budget_recall_solo"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in got] == want == [(50, 200, 1, 0, 0, 0)]
