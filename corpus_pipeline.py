@@ -24,7 +24,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group stays; groups are joined by pairs whose five-word
-    shingles have a Jaccard similarity of 0.8 or more, found exactly and not by SimHash. Rows that
+    shingles have a Jaccard similarity of 0.8 or more. SimHash finds the nearest of them, each confirmed
+    exactly; the rest, which its two bits leave, are found by shared shingles. Rows that
     repeat an id are rows like others: those of one group go with it, those of other groups stay.
     Rows with the least id count by their text's hash, the least one staying; of rows alike in both,
     the one that comes first as JSON. Rows without an id stay."""

@@ -12,7 +12,9 @@ distance is never more than the number of such shingles, and similar sets can't
 shingles than such a fingerprint has bits have a wide one too, of at least a bit a shingle, by which pairs
 are checked before any text is moved for them.
 
-Texts with the same set are one from the start. Under a shingle of more than a few sets, every set is
+Texts with the same set are one from the start. Sets whose SimHash fingerprints are the same or link, as in
+`simhash`, are compared next; those that are alike are joined before any shingle is looked at. What SimHash
+leaves, as most copies with some words changed are further than its few bits, is found by shingles. Under a shingle of more than a few sets, every set is
 first compared with some centres; what that connects needs no further pairs, so a large group of
 copies costs rows linear in its members. As long as that connects many where many are still apart, it
 goes on with other centres. Then sets under one shingle that are still apart are compared, without a
@@ -29,6 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import batched, forget, materialize, settle, texts
 from .components import connected
 
@@ -112,25 +115,26 @@ def _ordered(keys: np.ndarray, hashes: np.ndarray, df: np.ndarray) -> np.ndarray
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, fp, size, parity, wide, prefix) for every row: the set's hash, its size, its
-    parity fingerprints, and the shingles that it is filed under."""
+    """(doc_id, text_hash, fp, size, sim, parity, wide, prefix) for every row: the set's hash, its size, its
+    SimHash (each shingle once) and parity fingerprints, and the shingles that it is filed under."""
     shared = docs.sparkSession.sparkContext.broadcast(_frequent(docs))  # TOLD shingles at most
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps, sizes, parities, wides, prefixes = [], [], [], [], []
+        fps, sizes, sims, parities, wides, prefixes = [], [], [], [], [], []
         for text in texts(batch.column(2)):
             keys = shingles(text)
             n = len(keys)
             fps.append(xxhash.xxh64_intdigest(keys.tobytes(), SEED))
             sizes.append(n)
+            sims.append(simhash.of_hashes(keys))
             parities.append(parity(keys))
             wides.append(wide_parity(keys))
             prefixes.append(_ordered(keys, *shared.value)[: n - -(-4 * n // 5) + 1].view(np.int64))
-        columns = [batch.column(0), batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(parities, pa.list_(pa.int64())), pa.array(wides, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "fp", "size", "parity", "wide", "prefix"])
+        columns = [batch.column(0), batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(np.array(sims, np.uint64).view(np.int64)), pa.array(parities, pa.list_(pa.int64())), pa.array(wides, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "fp", "size", "sim", "parity", "wide", "prefix"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(batched(of), "doc_id long, text_hash long, fp long, size int, parity array<long>, wide binary, prefix array<long>")
+    return rows.mapInArrow(batched(of), "doc_id long, text_hash long, fp long, size int, sim long, parity array<long>, wide binary, prefix array<long>")
 
 
 def _may(x: str, y: str) -> Column:
@@ -205,8 +209,22 @@ def _id(c: Column) -> Column:
     return F.coalesce(c.cast("long"), F.lit((1 << 63) - 1))
 
 
+def simhash_links(sets: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) between similar sets whose SimHash fingerprints link, and the pairs that were tried. Sets
+    of one fingerprint are compared with the least of them, and those of linked ones by their least."""
+    least = sets.groupBy("sim").agg(F.min("fp").alias("least"))
+    near = simhash.links(least.select(F.col("sim").alias("fp")))
+    x, y = (least.select(F.col("sim").alias(c), F.col("least").alias(n)) for c, n in (("a", "x"), ("b", "y")))
+    across = near.join(x, "a").join(y, "b").select("x", "y")
+    within = sets.select("sim", "fp").join(least, "sim").where("fp <> least").select(F.col("least").alias("x"), F.col("fp").alias("y"))
+    pairs = across.unionByName(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    pairs = settle(pairs, "shingle-simhash", near)
+    return _confirmed(pairs, sets, docs), pairs
+
+
 def links(sets: DataFrame, docs: DataFrame) -> DataFrame:
     """Edges (a, b) over sets.fp whose components are those of all pairs of similar sets."""
+    edges, tested = simhash_links(sets, docs)
     filed = sets.select("fp", "size", F.posexplode("prefix").alias("at", "shingle"))
     low = F.col("at") <= F.col("size") - F.ceil(F.col("size") * 8 / 9)
     # most shingles are one set's: they are counted by themselves, so that little moves for them
@@ -220,18 +238,18 @@ def links(sets: DataFrame, docs: DataFrame) -> DataFrame:
     few = met.where(F.col("n") <= FEW).select("shingle", "low", F.struct("size", "fp", "at").alias("l"))
     few_pairs = _ordered_pairs(few.where("low").select("shingle", F.col("l").alias("s")).join(few.drop("low"), "shingle").where(_smaller("s", "l") & _may("s", "l")))
     x, y = (parity_of.select(F.col("fp").alias(c), F.struct("size", "parity").alias(n)) for c, n in (("a", "x"), ("b", "y")))
-    few_pairs = materialize(few_pairs.join(x, "a").join(y, "b").where(_close("x", "y")).select("a", "b"), "shingle-few")
+    few_pairs = materialize(few_pairs.join(x, "a").join(y, "b").where(_close("x", "y")).select("a", "b").join(tested, ["a", "b"], "left_anti"), "shingle-few")
 
     many = met.where(F.col("n") > FEW).select("shingle", "low", "fp", "at").join(parity_of, "fp")
     now = materialize(many.select("shingle", "low", F.struct("size", "fp", "at", "parity").alias("l"), F.col("fp").alias("label")), "shingle-apart")
     forget(blocks)
-    edges = tested = None
+    now = _still_apart(now, edges)
     turn = 0
     while True:
-        found, tried = _around_centres(now, few_pairs if tested is None else None, tested, sets, docs, turn)
+        found, tried = _around_centres(now, few_pairs if not turn else None, tested, sets, docs, turn)
         linked = found.count()
-        edges = found if edges is None else settle(edges.unionByName(found), "shingle-edges", edges, found)
-        tested = tried if tested is None else settle(tested.unionByName(tried), "shingle-tested", tested, tried)
+        edges = settle(edges.unionByName(found), "shingle-edges", edges, found)
+        tested = settle(tested.unionByName(tried), "shingle-tested", tested, tried)
         now = _still_apart(now, edges)
         most = now.groupBy("shingle").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
         turn += 1
@@ -244,7 +262,7 @@ def links(sets: DataFrame, docs: DataFrame) -> DataFrame:
     return settle(edges.unionByName(more), "shingle-edges", edges, rest, more)
 
 
-def _around_centres(now: DataFrame, besides: DataFrame | None, tested: DataFrame | None, sets: DataFrame, docs: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+def _around_centres(now: DataFrame, besides: DataFrame | None, tested: DataFrame, sets: DataFrame, docs: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
     """Links between sets under a shingle and a few centres there, and among pairs besides; and the pairs that
     were tried. Half of the centres are drawn from all sets, half from all components, anew in each turn."""
     drawn = [F.min(F.struct(F.xxhash64(F.lit(CENTRES * turn + i), "l.fp" if i % 2 else "label").alias("by"), F.col("l.fp").alias("fp")))["fp"] for i in range(CENTRES)]
@@ -252,7 +270,7 @@ def _around_centres(now: DataFrame, besides: DataFrame | None, tested: DataFrame
     centred = now.withColumn("fp", F.col("l.fp")).join(chosen, ["shingle", "fp"]).select("shingle", F.col("l").alias("s"), F.col("label").alias("own"))
     centred = materialize(centred, "shingle-centres")
     pairs = _ordered_pairs(now.join(centred, "shingle").where((F.col("own") != F.col("label")) & _may("s", "l") & _close("s", "l")))
-    pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
+    pairs = pairs.join(tested, ["a", "b"], "left_anti")
     pairs = pairs if besides is None else pairs.unionByName(besides).distinct()
     pairs = settle(pairs, "shingle-stars", centred, *([besides] if besides is not None else []))
     return _confirmed(pairs, sets, docs), pairs
@@ -276,7 +294,7 @@ def groups(docs: DataFrame) -> DataFrame:
     no rows. Columns besides doc_id and text are not read.
     """
     filed = materialize(signatures(docs), "shingles")
-    one = filed.groupBy("fp").agg(F.min(F.struct(_id(F.col("doc_id")).alias("doc_id"), "text_hash")).alias("first"), F.first("size").alias("size"), F.first("parity").alias("parity"), F.first("wide").alias("wide"), F.first("prefix").alias("prefix"))
+    one = filed.groupBy("fp").agg(F.min(F.struct(_id(F.col("doc_id")).alias("doc_id"), "text_hash")).alias("first"), F.first("size").alias("size"), F.first("sim").alias("sim"), F.first("parity").alias("parity"), F.first("wide").alias("wide"), F.first("prefix").alias("prefix"))
     sets = materialize(one, "shingle-sets")
     rows = settle(filed.select("doc_id", "text_hash", "fp"), "shingle-rows", filed)  # without the prefixes
     edges = links(sets, docs)

@@ -45,8 +45,22 @@ def fingerprint(text: bytes | None, words: int = 3) -> int:
     for at in range(0, len(starts), 1 << 15):  # bounds the bit matrix of a very long text
         spans = zip(starts[at : at + (1 << 15)].tolist(), ends[at : at + (1 << 15)].tolist(), strict=True)
         h = np.array([digest(joined[a:b], SEED) for a, b in spans], np.dtype("<u8"))
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > len(starts), bitorder="little").tobytes(), "little")
+        ones += _ones(h)
+    return _majority(ones, len(starts))
+
+
+def _ones(h: np.ndarray) -> np.ndarray:
+    return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def _majority(ones: np.ndarray, n: int) -> int:
+    return int.from_bytes(np.packbits(ones * 2 > n, bitorder="little").tobytes(), "little")
+
+
+def of_hashes(h: np.ndarray) -> int:
+    """The SimHash of shingles that are hashed already; 0 for none."""
+    h = h.astype("<u8")
+    return _majority(sum((_ones(h[at : at + (1 << 15)]) for at in range(0, len(h), 1 << 15)), np.zeros(BITS, np.int64)), len(h))
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import corpus_pipeline
 import numpy as np
 from linkweave.llm import shingles
+from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -129,3 +130,22 @@ def test_long_texts_that_share_much(spark):
     got = sorted((r.doc_id, r["head"].doc_id) for r in shingles.groups(docs).collect())
     assert got == brute(rows)
     assert 8 < len({h for _, h in got}) < len(rows)
+
+
+def test_simhash_links_come_first(spark):
+    """Near copies within SimHash's bits are linked by it, dissimilar sets of one fingerprint are not."""
+    words = [f"w{i}" for i in range(400)]
+    rows = [(1, " ".join(words)), (2, " ".join(words + ["end"])), (3, " ".join(words[::-1])), (4, " ".join(words[:150] + ["new"] * 30 + words[150:]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    filed = shingles.signatures(docs).withColumn("first", F.struct("doc_id", "text_hash")).cache()
+    of = {r.fp: (r.doc_id, r.sim) for r in filed.collect()}
+    near = {tuple(sorted((d, e))) for d, x in of.values() for e, y in of.values() if d < e and (x ^ y).bit_count() <= 2}
+    assert (1, 2) in near
+    found, tried = shingles.simhash_links(filed, docs)
+    got = {tuple(sorted((of[r.a][0], of[r.b][0]))) for r in found.collect()}
+    assert (1, 2) in got and got <= near
+    same = filed.withColumn("sim", F.lit(7).cast("long"))
+    found, tried = shingles.simhash_links(same, docs)
+    assert tried.count() == 3 and (3 not in {of[f][0] for r in found.collect() for f in (r.a, r.b)})
+    want = shingles.groups(docs).collect()
+    assert {r.doc_id: r["head"].doc_id for r in want}[2] == 1
