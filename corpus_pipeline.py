@@ -6,14 +6,33 @@ columns of documents, but for the last, which returns the pieces of packed seque
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkweave.llm import langid, mixing, packing, shingles, substring
-from linkweave.llm.common import forget, materialize, settle
+from linkweave.llm.common import forget, materialize, settle, small_batches
 from linkweave.llm.queries import vocabulary
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def in_small_batches(stage: Stage) -> Stage:
+    """The stage with rows going to Python in batches of a few MB: all stages share the executors, whose
+    memory has to hold what each of them leaves."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@in_small_batches
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learn the languages from the documents' own labels outside the held-out fold; documents that
     the classifier rejects go: those without letters and those under its calibrated threshold. Where
@@ -22,6 +41,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return langid.accepted(docs, langid.train(docs.where(~langid.held_out())))
 
 
+@in_small_batches
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group stays; groups are joined by pairs whose five-word
     shingles have a Jaccard similarity of 0.8 or more. SimHash finds the nearest of them, each confirmed
@@ -40,17 +60,20 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return out
 
 
+@in_small_batches
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of 50-word windows that an earlier document has too go; every document stays."""
     return substring.dedup(docs)
 
 
+@in_small_batches
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources go in tempered weights: each document is shown at least once, none of a source more
     than one and a half times on average."""
     return mixing.place(docs, mixing.Settings(repeats=1.5)).select("row.*")
 
 
+@in_small_batches
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 4096 tokens."""
     return packing.pack_documents(docs, vocabulary)

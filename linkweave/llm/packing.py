@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batched, materialize, texts
+from .common import batched, give_back, materialize, texts
 
 if TYPE_CHECKING:
     from tokenizers import Tokenizer
@@ -66,12 +66,13 @@ _TRAILING = re.compile(rb"([a-z])([!-&(-/:-@\[-`{-~]+)(?=[\x20\x09-\x0D]|$)")
 def _by_words(tokenizer: Tokenizer) -> bool:
     """Whether the tokenizer composes, drops white space, lower-cases and takes letters and marks for
     different pieces, which is what the short ways of _Words rest on."""
-    rules = json.loads(tokenizer.to_str())
-    normal = [r["type"] for r in (rules["normalizer"] or {}).get("normalizers", [])]
-    pieces = (rules["pre_tokenizer"] or {}).get("pretokenizers", [])
+    # by its parts: all of it as JSON has the vocabulary and its merges, tens of MB as Python's objects
+    normalizer, splitter = (json.loads(part.__getstate__()) if part else {} for part in (tokenizer.normalizer, tokenizer.pre_tokenizer))
+    normal = [r["type"] for r in normalizer.get("normalizers", [])]
+    pieces = splitter.get("pretokenizers", [])
     pattern = pieces[0].get("pattern", {}).get("Regex", "") if pieces else ""
     letters = pattern.split("|")[-3:] == [r"[\p{L}]+", r"[\p{N}]", r"[^\s\p{L}\p{N}]+"]
-    plain = all(t["content"].startswith("<|") and not t["normalized"] for t in rules["added_tokens"])
+    plain = all(t.content.startswith("<|") and not t.normalized for t in tokenizer.get_added_tokens_decoder().values())
     return normal == ["NFC", "Replace", "Lowercase"] and [r["type"] for r in pieces] == ["Split", "ByteLevel"] and letters and plain
 
 
@@ -97,6 +98,7 @@ class _Words(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.by_words = _by_words(self.tokenizer)
+        give_back()  # what reading the file took
         self.older: dict[bytes, bytes] = {}
         self.size = 0
 

@@ -1,9 +1,12 @@
 """Every stage of the pipeline against brute force on its own input."""
 
 import hashlib
+import json
 from collections import Counter
 
 import corpus_pipeline
+import pyarrow as pa
+import pytest
 from linkweave.llm.langid import LETTER
 
 from .test_packing import check
@@ -148,3 +151,26 @@ def test_columns_named_like_helpers(spark):
     packed = corpus_pipeline.STAGES[-1][1]
     digest = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     assert sorted(map(tuple, packed(spark, odd, "").select(*digest).collect())) == sorted(map(tuple, packed(spark, docs, "").select(*digest).collect()))
+
+
+def test_batches_to_python_are_small(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.createDataFrame([(i, "some words " * 2000, "en", "src0", 22000) for i in range(800)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    for _, stage in corpus_pipeline.STAGES:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        stage(spark, docs.limit(20), sf)
+        assert max(r.n for r in docs.mapInArrow(sizes, "n long").collect()) < 5_000_000
+
+
+def test_tokenizer_rules_are_read_without_the_vocabulary(monkeypatch):
+    from linkweave.llm import packing
+    from linkweave.llm.queries import vocabulary
+
+    read = json.loads
+    monkeypatch.setattr(packing.json, "loads", lambda s: read(s) if len(s) < 10_000 else pytest.fail("the whole tokenizer as JSON"))
+    assert packing._Words(vocabulary()).by_words
