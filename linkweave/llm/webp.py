@@ -7,8 +7,10 @@ channel for all of them, so the interpreter's cost is shared by the batch. Heade
 are parsed once.
 
 `encode_payloads` stores byte payloads as such images. Three bytes make an opaque pixel; pixels
-that only fill up the last row are transparent. Its prefix codes are fixed, from a rule, and
-serve text: every image has the same few bytes of header after its size.
+that only fill up the last row are transparent. Copies of earlier pixels and the colour cache stand
+for repeats, in prefix codes that serve text, from a rule; images of few colours have a palette,
+and those that gain by it have prefix codes of their own. What is smallest is taken, by each
+image's own bytes alone.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import hashlib
 import heapq
 import struct
 import zlib
+from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
@@ -41,6 +44,7 @@ NEAR = tuple(
     """.split()
 )
 
+_NEAR = np.array(NEAR, np.int64)
 GREEN_LITERALS, LENGTH_CODES, DISTANCE_CODES = 256, 24, 40
 LONGEST = 15
 CACHE_HASH = 0x1E35A7BD
@@ -151,6 +155,11 @@ class _Stream:
         self.blocks, self.block_bits = blocks, block_bits
 
 
+def _literal(s: _Stream) -> bool:
+    """Whether its code gives literals only: neither copies nor the cache."""
+    return not s.cache_bits and s.blocks is None and not bool(((s.tables[:, 0] >> 4) >= GREEN_LITERALS).any())
+
+
 def _div_up(n: int, bits: int) -> int:
     return (n + (1 << bits) - 1) >> bits
 
@@ -236,7 +245,7 @@ def _pixels(datas: list[bytes], streams: list[_Stream]) -> tuple[list[np.ndarray
         return value + 1
 
     # an image whose code gives literals only never needs the checks for the rest
-    plain = cache is None and not meta.any() and not any(((s.tables[:, 0] >> 4) >= GREEN_LITERALS).any() for s in streams)
+    plain = all(_literal(s) for s in {id(s.tables): s for s in streams}.values()) and not meta.any()
     ends = sorted(set(total.tolist()))
     done = 0
     for end in ends:
@@ -294,7 +303,7 @@ def _pixels(datas: list[bytes], streams: list[_Stream]) -> tuple[list[np.ndarray
                 bit[at] += used
                 far = extra(at, code)
                 short = far <= len(NEAR)
-                near = np.array([NEAR[k - 1] if k <= len(NEAR) else (0, 0) for k in far.tolist()])
+                near = _NEAR[np.minimum(far, len(NEAR)) - 1]
                 back[at] = np.where(short, np.maximum(1, near[:, 0] + near[:, 1] * width[at]), far - len(NEAR))
                 if (back[at] > step).any() or (left[at] + step > total[at]).any():
                     raise BadImage("a back-reference leaves the image")
@@ -479,28 +488,36 @@ def decode(images: list[bytes]) -> list[tuple[int, int, np.ndarray]]:
         width, height = (size & 0x3FFF) + 1, (size >> 14 & 0x3FFF) + 1
         if size >> 29:
             raise BadImage("unknown version")
-        for n, value, known in plain:
+        for k, (n, value, known) in enumerate(plain):
             if int.from_bytes(data[5 : 5 + (n + 7) // 8], "little") & ((1 << n) - 1) == value:
                 header = known
+                plain.insert(0, plain.pop(k))
                 break
         else:
             bits = _Bits(data, 40)
             header = _Header(bits, width, height)
-            if header.fixed and len(plain) < 64:
+            if header.fixed:
                 n = bits.at - 40
+                del plain[63:]  # those that come again are in front
                 plain.append((n, int.from_bytes(data[5 : 5 + (n + 7) // 8], "little") & ((1 << n) - 1), header))
         s = header.stream
         stream = _Stream(width, height, s.cache_bits, s.tables, s.at) if header.fixed else s
         datas.append(data)
         sizes.append((width, height))
         headers.append((header, stream))
-    found, at = [], 0
-    while at < len(datas):
+    found, at = [np.empty(0)] * len(datas), 0
+    literal = {id(h.stream): _literal(h.stream) for h, _ in headers}
+    alone = [literal[id(h.stream)] for h, _ in headers]
+    users = Counter(id(s.tables) for _, s in headers)
+    # literals alone are read in a shorter way; of images with tables of their own, those of a size go together
+    order = sorted(range(len(datas)), key=lambda i: (not alone[i], -users[id(headers[i][1].tables)], sizes[i][0] * sizes[i][1]))
+    while at < len(order):
         tables, end = {}, at  # as many images at once as have few enough tables among them
-        while end < len(datas) and sum(tables.values()) < 64:
-            tables[id(headers[end][1].tables)] = len(headers[end][1].tables)
+        while end < len(order) and sum(tables.values()) < 64 and alone[order[end]] == alone[order[at]]:
+            tables[id(headers[order[end]][1].tables)] = len(headers[order[end]][1].tables)
             end += 1
-        found += _pixels(datas[at:end], [h[1] for h in headers[at:end]])[0]
+        for i, pixels in zip(order[at:end], _pixels([datas[i] for i in order[at:end]], [headers[i][1] for i in order[at:end]])[0], strict=True):
+            found[i] = pixels
         at = end
     out = []
     for (width, height), (header, _), pixels in zip(sizes, headers, found, strict=True):
@@ -619,12 +636,189 @@ def _payload_code(transparent: bool) -> tuple[np.ndarray, np.ndarray, int, int]:
     return np.array(lengths, np.int64), np.array(canonical(lengths), np.uint64), out.value, out.size
 
 
+#: entries of the colour cache, as bits; least and most pixels of a copy; how far back one reaches
+CACHE_BITS, SHORTEST_COPY, LONGEST_COPY, FARTHEST = 8, 3, 4096, (1 << 20) - 120
+#: an image gets prefix codes of its own, or a palette, where that saves one part in so many at least: on
+#: reading, its tables are built for it alone
+OWN_PART = 2
+_OPAQUE = np.uint32(0xFF000000)
+
+
+def _limited(weights: list[int]) -> list[int]:
+    """Code lengths of a Huffman code whose codes the format can send."""
+    lengths = huffman_lengths(weights)
+    while max(lengths) > LONGEST:
+        weights = [(w + 1) // 2 for w in weights]
+        lengths = huffman_lengths(weights)
+    return [int(w > 0) for w in weights] if sum(map(bool, weights)) == 1 else lengths
+
+
+class _Codes:
+    """Prefix codes of the five alphabets, from weights, and the header that sends them."""
+
+    def __init__(self, weights: list[list[int]], cache_bits: int, out: _Writer):
+        out.put(0, 1)  # no further transform
+        out.put(cache_bits > 0, 1)
+        if cache_bits:
+            out.put(cache_bits, 4)
+        out.put(0, 1)  # one group of codes
+        self.sizes, self.codes = [], []
+        for w in weights:
+            lengths = _limited(w)
+            write_code(out, lengths)
+            sole = sum(map(bool, lengths)) <= 1  # takes no bits
+            self.sizes.append(np.array([0] * len(w) if sole else lengths, np.int64))
+            self.codes.append(np.array([0] * len(w) if sole else canonical(lengths), np.uint64))
+        self.header, self.bits = out.value, out.size
+
+
+def _shared_codes() -> _Codes:
+    """For text with copies and the colour cache, from a rule as well."""
+    text = [10 * w for w in _text_weights()]
+    lengths = [240 if 2 <= k <= 7 else 20 for k in range(LENGTH_CODES)]
+    cached = [sum(text) // 2 >> CACHE_BITS] * (1 << CACHE_BITS)
+    return _Codes([text + lengths + cached, text, text, [0] * 255 + [1], [30 if 12 <= k <= 20 else 3 for k in range(DISTANCE_CODES)]], CACHE_BITS, _Writer())
+
+
+def _prefixes(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix symbol, number of further bits and their value, of numbers from 1 on."""
+    u = value - 1
+    top = np.maximum(np.frexp(u.astype(np.float64))[1].astype(np.int64) - 2, 0)  # bits under the first two
+    more = np.where(u < 4, 0, top)
+    return np.where(u < 4, u, 2 * more + (u >> more)), more, u & ((1 << more) - 1)
+
+
+def _near_codes(width: int) -> np.ndarray:
+    """The short code of each distance of a row length, 0 where there is none."""
+    if width not in _NEAR_CODES:
+        table = np.zeros(7 * width + 9, np.int64)
+        for k in range(len(NEAR), 0, -1):
+            x, y = NEAR[k - 1]
+            if x + y * width >= 1:
+                table[x + y * width] = k
+        _NEAR_CODES[width] = table
+    return _NEAR_CODES[width]
+
+
+_NEAR_CODES: dict[int, np.ndarray] = {}
+
+
+def _copies(p: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+    """Starts, lengths and distances of the copies that a greedy reading of an image takes: of the last
+    place with the same three pixels, for as long as that stays the last place."""
+    n = len(p) - SHORTEST_COPY + 1
+    if n < 2:
+        return [], [], []
+    wide = p.astype(np.uint64)
+    key = wide[:n] * np.uint64(0x9E3779B97F4A7C15) + wide[1 : n + 1] * np.uint64(0xC2B2AE3D27D4EB4F) + wide[2:] * np.uint64(0x165667B19E3779F9)
+    order = np.argsort(key, kind="stable")
+    later, before = order[1:], order[:-1]
+    good = (key[later] == key[before]) & (later - before <= FARTHEST)
+    for k in range(SHORTEST_COPY):
+        good &= p[later + k] == p[before + k]
+    far = np.zeros(n, np.int64)
+    far[later[good]] = (later - before)[good]
+    at = np.flatnonzero(far)
+    if not len(at):
+        return [], [], []
+    d = far[at]
+    last = np.append(np.flatnonzero((at[1:] != at[:-1] + 1) | (d[1:] != d[:-1])), len(at) - 1)  # of each run
+    ends = at[last[np.searchsorted(last, np.arange(len(at)))]]
+    length = np.minimum(ends - at + SHORTEST_COPY, LONGEST_COPY)
+    follow = np.searchsorted(at, at + length).tolist()
+    chosen, k = [], 0
+    while k < len(follow):
+        chosen.append(k)
+        k = follow[k]
+    return at[chosen].tolist(), length[chosen].tolist(), d[chosen].tolist()
+
+
+def _cached(p: np.ndarray) -> np.ndarray:
+    """Where a pixel is the last one of its place in the colour cache."""
+    slot = ((p * np.uint32(CACHE_HASH)) >> np.uint32(32 - CACHE_BITS)).astype(np.uint8 if CACHE_BITS <= 8 else np.uint16)
+    order = np.argsort(slot, kind="stable")
+    hit = np.zeros(len(p), bool)
+    hit[order[1:]] = p[order[1:]] == p[order[:-1]]  # equal pixels have equal places
+    return hit
+
+
+class _Tokens:
+    """What stands for images' pixels: symbols of the alphabets (green, red, blue, alpha, distance), -1
+    for none, and the further bits of copies. ends: behind each image's last token."""
+
+    def __init__(self, images: list[np.ndarray], widths: list[int], cache: bool):
+        starts = np.cumsum([0] + [len(p) for p in images])
+        p = np.concatenate(images)
+        length, code, hit = np.zeros(len(p), np.int64), np.zeros(len(p), np.int64), np.zeros(len(p), bool)
+        inside = np.zeros(len(p) + 1, np.int32)
+        for a, image, width in zip(starts[:-1].tolist(), images, widths, strict=True):
+            at, n, far = _copies(image)
+            if at:
+                at, n, far, near = a + np.array(at), np.array(n), np.array(far), _near_codes(width)
+                short = near[np.minimum(far, len(near) - 1)] * (far < len(near))
+                length[at], code[at] = n, np.where(short > 0, short, far + len(NEAR))
+                inside[at + 1] += 1
+                inside[at + n] -= 1
+            if cache:
+                hit[a : a + len(image)] = _cached(image)
+        keep = np.flatnonzero(np.cumsum(inside[:-1]) == 0)
+        self.ends = np.searchsorted(keep, starts[1:])
+        p, length, code, hit = p[keep], length[keep], code[keep], hit[keep]
+        copy = length > 0
+        hit &= ~copy
+        literal = ~copy & ~hit
+        symbols = np.full((len(p), 5), -1, np.int64)
+        for k, shift in enumerate((8, 16, 0, 24)):
+            symbols[:, k] = np.where(literal, (p >> np.uint32(shift) & np.uint32(255)).astype(np.int64), -1)
+        slot = (p * np.uint32(CACHE_HASH)) >> np.uint32(32 - CACHE_BITS)
+        symbols[hit, 0] = GREEN_LITERALS + LENGTH_CODES + slot[hit].astype(np.int64)
+        n, n_bits, n_value = _prefixes(length[copy])
+        far, far_bits, far_value = _prefixes(code[copy])
+        symbols[copy, 0], symbols[copy, 4] = GREEN_LITERALS + n, far
+        # fields in the order of the stream: green, further bits or red, blue, distance or alpha, further bits
+        self.copy, self.symbols = copy, symbols
+        self.more = np.column_stack([n_bits, far_bits]), np.column_stack([n_value, far_value]).astype(np.uint64)
+
+    def fields(self, codes: _Codes) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and values of four fields a token."""
+        size, value = np.zeros((len(self.symbols), 4), np.int64), np.zeros((len(self.symbols), 4), np.uint64)
+        for k in range(4):
+            s = self.symbols[:, k]
+            there = s >= 0
+            size[there, k], value[there, k] = codes.sizes[k][s[there]], codes.codes[k][s[there]]
+        far = self.symbols[self.copy, 4]
+        size[self.copy, 1], value[self.copy, 1] = self.more[0][:, 0], self.more[1][:, 0]
+        size[self.copy, 2], value[self.copy, 2] = codes.sizes[4][far], codes.codes[4][far]
+        size[self.copy, 3], value[self.copy, 3] = self.more[0][:, 1], self.more[1][:, 1]
+        return size, value
+
+    def weights(self, cache: bool) -> list[list[int]]:
+        """How often each symbol stands."""
+        sizes = (GREEN_LITERALS + LENGTH_CODES + (1 << CACHE_BITS if cache else 0), 256, 256, 256, DISTANCE_CODES)
+        return [np.bincount(s[s >= 0], minlength=n).tolist() for s, n in zip(self.symbols.T, sizes, strict=True)]
+
+    def own_bits(self) -> np.ndarray:
+        """About the bits of each image with codes of its own: entropies, some bits for each symbol of a
+        code, and the further bits."""
+        n = len(self.ends)
+        image = np.searchsorted(self.ends, np.arange(len(self.symbols)), "right")
+        bits = np.bincount(image[self.copy], self.more[0].sum(axis=1), n) + 100.0
+        for s in self.symbols.T:
+            there = s >= 0
+            wide = int(s.max(initial=0)) + 1
+            count = np.bincount(image[there] * wide + s[there], minlength=n * wide).reshape(n, wide).astype(np.float64)
+            total = count.sum(axis=1)
+            bits += total * np.log2(np.maximum(total, 1)) - (count * np.log2(np.maximum(count, 1))).sum(axis=1) + 3 * (count > 0).sum(axis=1)
+        return bits
+
+
 ROW = 192
 _WIDTH = ROW // 3
 _MOST = 1 << 14
-#: payloads are encoded together up to about this size; a sample takes some forty bytes on the way
-ENCODE_BYTES = 2 << 20
+#: payloads are encoded together up to about this size; a sample takes some hundred bytes on the way
+ENCODE_BYTES = 1 << 20
 _CODES: dict[bool, tuple[np.ndarray, np.ndarray, int, int]] = {}
+_SHARED: list[_Codes] = []
 
 
 def pad(text: bytes) -> bytes:
@@ -633,67 +827,160 @@ def pad(text: bytes) -> bytes:
 
 
 def encode_payloads(payloads: list[bytes]) -> list[bytes]:
-    """Store each payload, of a positive multiple of ROW bytes, as an image of its own."""
-    out: list[bytes] = [b""] * len(payloads)
-    shapes = []
-    for p in payloads:
+    """Store each payload, of a positive multiple of ROW bytes, as an image of its own.
+
+    An image is the smallest of these: literals in the text code; copies and the colour cache in a
+    code for these; copies, with the cache or a palette, in codes of its own (see OWN_PART)."""
+    out: list[bytes] = []
+    mine: list[bytes] = []
+    shapes, size = [], 0
+    for i, p in enumerate(payloads):
         rows = len(p) // ROW
         if not rows or len(p) % ROW:
             raise ValueError(f"a payload has a positive multiple of {ROW} bytes")
         wide = -(-rows // _MOST)
         if wide * _WIDTH > _MOST:
             raise ValueError("a payload is larger than an image can be")
+        mine.append(p)
         shapes.append((wide * _WIDTH, -(-rows // wide)))
+        size += len(p)
+        if size >= ENCODE_BYTES or i == len(payloads) - 1:
+            out += _encode(mine, shapes)
+            mine, shapes, size = [], [], 0
+    return out
+
+
+def _encode(payloads: list[bytes], shapes: list[tuple[int, int]]) -> list[bytes]:
+    if not _SHARED:
+        _SHARED.append(_shared_codes())
+    shared = _SHARED[0]
+    images = []
+    for p, (w, h) in zip(payloads, shapes, strict=True):
+        c = np.frombuffer(p, np.uint8).reshape(-1, 3).astype(np.uint32)
+        argb = np.zeros(w * h, np.uint32)  # what fills up the last row is transparent
+        argb[: len(c)] = _OPAQUE | c[:, 0] << 16 | c[:, 1] << 8 | c[:, 2]
+        images.append(argb)
+    clear = [3 * len(a) > len(p) for a, p in zip(images, payloads, strict=True)]
+    tokens = _Tokens(images, [w for w, _ in shapes], True)
+    size, value = tokens.fields(shared)
+    ends = tokens.ends
+    body = np.diff(np.concatenate([[0], np.cumsum(size.sum(axis=1))])[np.concatenate([[0], ends])])
+    text_sizes = _text_code(False)[0]
+    text_bits = [int(text_sizes[np.frombuffer(p, np.uint8)].sum()) + len(a) * c + _text_code(c)[3] for p, a, c in zip(payloads, images, clear, strict=True)]
+    shared_bits = [None if c else int(b) + shared.bits for b, c in zip(body, clear, strict=True)]
+    guess = tokens.own_bits()
+    streams: list[bytes] = [b""] * len(payloads)
+    texts_at, shared_at = [], []
+    for i, (t, s) in enumerate(zip(text_bits, shared_bits, strict=True)):
+        most = min(t, s if s is not None else t)
+        own = _own(images[i], shapes[i], most - most // OWN_PART, float(guess[i]))
+        if own is not None:
+            streams[i] = own
+        else:
+            (texts_at if s is None or t <= s else shared_at).append(i)
     for transparent in (False, True):
-        mine, size = [], 0
-        for i, (w, h) in enumerate(shapes):
-            if (3 * w * h > len(payloads[i])) == transparent:
-                mine.append(i)
-                size += len(payloads[i])
-            if mine and (size >= ENCODE_BYTES or i == len(shapes) - 1):
-                for k, image in zip(mine, _encode([payloads[k] for k in mine], [shapes[k] for k in mine], transparent), strict=True):
-                    out[k] = image
-                mine, size = [], 0
+        at = [i for i in texts_at if clear[i] == transparent]
+        if at:
+            for i, raw in zip(at, _text_streams([payloads[i] for i in at], [len(images[i]) for i in at], transparent), strict=True):
+                streams[i] = raw
+    if shared_at:
+        first = np.concatenate([[0], ends])
+        rows = np.concatenate([np.arange(first[i], first[i + 1]) for i in shared_at])
+        for i, raw in zip(shared_at, _streams(size[rows], value[rows], [int(first[i + 1] - first[i]) for i in shared_at], shared.header, shared.bits), strict=True):
+            streams[i] = raw
+    out = []
+    for (w, h), c, raw in zip(shapes, clear, streams, strict=True):
+        data = b"\x2f" + struct.pack("<I", (w - 1) | (h - 1) << 14 | int(c) << 28) + raw
+        chunk = b"VP8L" + struct.pack("<I", len(data)) + data + b"\0" * (len(data) % 2)
+        out.append(b"RIFF" + struct.pack("<I", 4 + len(chunk)) + b"WEBP" + chunk)
     return out
 
 
-def _encode(payloads: list[bytes], shapes: list[tuple[int, int]], transparent: bool) -> list[bytes]:
+def _own(argb: np.ndarray, shape: tuple[int, int], most: int, guess: float) -> bytes | None:
+    """An image in codes of its own, with a palette where it has few colours; None where that takes more
+    than so many bits."""
+    found = []
+    colours = np.unique(argb)
+    if len(colours) <= 16 or len(colours) <= 256 and 12 * len(colours) <= most:  # about a palette's bits
+        found.append(_palette(argb, shape, colours))
+    if guess <= most:
+        tokens = _Tokens([argb], [shape[0]], True)
+        found.append((tokens, _Codes(tokens.weights(True), CACHE_BITS, _Writer())))
+    best = None
+    for tokens, codes in found:
+        size, value = tokens.fields(codes)
+        bits = int(size.sum()) + codes.bits
+        if bits <= most:
+            best, most = _streams(size, value, [len(size)], codes.header, codes.bits)[0], bits - 1
+    return best
+
+
+def _palette(argb: np.ndarray, shape: tuple[int, int], colours: np.ndarray) -> tuple[_Tokens, _Codes]:
+    """Indices of colours, several to a pixel where there are few, and codes behind the palette."""
+    width, height = shape
+    bits = palette_bits(len(colours))
+    narrow, each = _div_up(width, bits), 8 >> bits
+    index = np.zeros((height, narrow << bits), np.uint32)
+    index[:, :width] = np.searchsorted(colours, argb).reshape(height, width)
+    parts = index.reshape(height, narrow, 1 << bits) << (each * np.arange(1 << bits, dtype=np.uint32))
+    packed = parts.sum(axis=2, dtype=np.uint32).reshape(-1) << np.uint32(8) | _OPAQUE
+    out = _Writer()
+    out.put(1, 1), out.put(PALETTE, 2), out.put(len(colours) - 1, 8)
+    channels = _channels(colours)
+    steps = _joined(np.concatenate([channels[:1], channels[1:] - channels[:-1]]))
+    table = _Tokens([steps], [len(steps)], False)
+    inner = _Writer()
+    codes = _Codes(table.weights(False), 0, inner)
+    # an image in a header has neither transforms nor groups: the cache's bit, then its codes
+    out.put(inner.value >> 1 & 1 | inner.value >> 3 << 1, inner.size - 2)
+    for size, value in zip(*(x.reshape(-1).tolist() for x in table.fields(codes)), strict=True):
+        out.put(value, size)
+    tokens = _Tokens([packed], [narrow], False)
+    return tokens, _Codes(tokens.weights(False), 0, out)
+
+
+def _text_code(transparent: bool) -> tuple[np.ndarray, np.ndarray, int, int]:
     if transparent not in _CODES:
         _CODES[transparent] = _payload_code(transparent)
-    lengths, codes, header, header_bits = _CODES[transparent]
-    full = [3 * w * h for w, h in shapes]
-    samples = np.frombuffer(b"".join(p.ljust(n, b"\0") for p, n in zip(payloads, full, strict=True)), np.uint8).reshape(-1, 3)
+    return _CODES[transparent]
+
+
+def _text_streams(payloads: list[bytes], pixels: list[int], transparent: bool) -> list[bytes]:
+    """What follows the size of images of literals in the text code."""
+    lengths, codes, header, header_bits = _text_code(transparent)
+    samples = np.frombuffer(b"".join(p.ljust(3 * n, b"\0") for p, n in zip(payloads, pixels, strict=True)), np.uint8).reshape(-1, 3)
     symbols = samples[:, [1, 0, 2]]  # sent as green, red, blue
     size, code = lengths[symbols], codes[symbols]
     if transparent:
-        opaque = np.concatenate([np.arange(n // 3) < len(p) // 3 for p, n in zip(payloads, full, strict=True)])
+        opaque = np.concatenate([np.arange(n) < len(p) // 3 for p, n in zip(payloads, pixels, strict=True)])
         size = np.column_stack([size, np.ones(len(size), np.int64)])
         code = np.column_stack([code, opaque.astype(np.uint64)])  # of 0 and 255 the latter's code is 1
+    return _streams(size, code, pixels, header, header_bits)
+
+
+def _streams(size: np.ndarray, code: np.ndarray, rows: list[int], header: int, header_bits: int) -> list[bytes]:
+    """Each image's header and the fields of its rows, as bits. A field of no bits has the value 0."""
     per = size.shape[1]
     ends = np.cumsum(size.reshape(-1))
-    first = np.cumsum([0] + [n // 3 * per for n in full])
+    first = np.cumsum([0] + [n * per for n in rows])
     body = np.diff(np.concatenate([[0], ends])[first])
     words = (header_bits + body + 31) // 32
     start = 32 * np.concatenate([[0], np.cumsum(words)[:-1]])
     shift = start + header_bits - np.concatenate([[0], np.cumsum(body)[:-1]])
     at = ends - size.reshape(-1) + np.repeat(shift, np.diff(first))
-    stream = np.zeros(int(words.sum()) + 1, np.uint64)
+    stream = np.zeros(int(words.sum()) + 2, np.uint64)
     word = at >> 5
     value = code.reshape(-1) << (at & 31).astype(np.uint64)
     new = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
     sums = np.add.reduceat(value, new)
-    stream[word[new]] += sums & np.uint64(0xFFFFFFFF)
-    stream[word[new] + 1] += sums >> np.uint64(32)
+    # a field of no bits may stand at the end of one image, before the next one's header
+    np.add.at(stream, word[new], sums & np.uint64(0xFFFFFFFF))
+    np.add.at(stream, word[new] + 1, sums >> np.uint64(32))
     head = np.frombuffer(header.to_bytes(-(-header_bits // 32) * 4, "little"), "<u4").astype(np.uint64)
     for k, part in enumerate(head):
         stream[start // 32 + k] += part
     raw = stream.astype("<u4").tobytes()
-    out = []
-    for (w, h), s, n in zip(shapes, (start // 8).tolist(), ((header_bits + body + 7) // 8).tolist(), strict=True):
-        data = b"\x2f" + struct.pack("<I", (w - 1) | (h - 1) << 14 | int(transparent) << 28) + raw[s : s + n]
-        chunk = b"VP8L" + struct.pack("<I", len(data)) + data + b"\0" * (len(data) % 2)
-        out.append(b"RIFF" + struct.pack("<I", 4 + len(chunk)) + b"WEBP" + chunk)
-    return out
+    return [raw[s : s + n] for s, n in zip((start // 8).tolist(), ((header_bits + body + 7) // 8).tolist(), strict=True)]
 
 
 def decode_payloads(images: list[bytes]) -> list[bytes]:
@@ -773,4 +1060,4 @@ def digests(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return docs.select("doc_id", "text").mapInArrow(batched(run, 12 << 20), schema)
+    return docs.select("doc_id", "text").mapInArrow(batched(run, 24 << 20), schema)

@@ -95,3 +95,35 @@ def test_digests(spark):
         assert len(r.argb) == 4 * r.width * r.height
         raw = (text[r.doc_id] or "").encode()
         assert bytes(b for i, b in enumerate(r.argb) if i % 4).startswith(raw)
+
+
+def test_stored_images_use_the_format(spark):
+    """Copies, the colour cache, codes of their own and palettes are in the images of real documents and of odd ones."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = [r.text or "" for r in docs.orderBy("doc_id").limit(150).collect()]
+    rnd = random.Random(4)
+    few = [rnd.choice(["abc", "xyz", "tuv", " 1 "]) for _ in range(900)]
+    odd = ["", "abc abd " * 900, "".join(few), "".join(rnd.choice("한국어의") for _ in range(4000)), "z" * (192 * 16385 - 7)]
+    payloads = [W.pad(t.encode()) for t in texts + odd]
+    images = W.encode_payloads(payloads)
+    assert W.decode_payloads(images) == payloads
+    assert [W.encode_payloads([p])[0] for p in payloads] == images
+    headers = [W._Header(W._Bits(W._payload_of(i), 40), W._WIDTH, len(p) // W.ROW) for i, p in zip(images[:-1], payloads)]
+    cached = [h for h in headers if h.stream.cache_bits]
+    assert sum(h.stream.cache_bits > 0 for h in headers[:150]) > 100
+    assert len({h.stream.tables.tobytes() for h in cached}) > 1 and any(h.undo for h in headers)
+    pixels = [p.astype("uint32") for _, _, p in W.decode(images[:150])]
+    assert sum(bool(W._copies(p)[0]) for p in pixels) > 100
+    assert sum(map(len, images)) < sum(len(p) for p in payloads) // 2
+
+
+def test_tokens_against_a_plain_reading():
+    """Numbers' prefixes and the short codes of distances, as the decoder reads them."""
+    import numpy as np
+
+    value = np.array([*range(1, 300), 4095, 4096, (1 << 20) - 1, 1 << 20])
+    symbol, more, rest = W._prefixes(value)
+    base = np.where(symbol < 4, symbol, (2 + (symbol & 1)) << more)
+    assert (base + rest + 1 == value).all() and (more == np.where(symbol < 4, 0, (symbol - 2) >> 1)).all()
+    near = W._near_codes(64)
+    assert all(near[d] == 0 or max(1, W.NEAR[near[d] - 1][0] + 64 * W.NEAR[near[d] - 1][1]) == d for d in range(1, len(near)))
