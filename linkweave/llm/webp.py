@@ -638,9 +638,9 @@ def _payload_code(transparent: bool) -> tuple[np.ndarray, np.ndarray, int, int]:
 
 #: entries of the colour cache, as bits; least and most pixels of a copy; how far back one reaches
 CACHE_BITS, SHORTEST_COPY, LONGEST_COPY, FARTHEST = 8, 3, 4096, (1 << 20) - 120
-#: an image gets prefix codes of its own, or a palette, where that saves one part in so many at least: on
+#: an image gets prefix codes of its own, or a palette, where that leaves one part in so many at most: on
 #: reading, its tables are built for it alone
-OWN_PART = 2
+OWN_PART = 3
 _OPAQUE = np.uint32(0xFF000000)
 
 
@@ -873,7 +873,7 @@ def _encode(payloads: list[bytes], shapes: list[tuple[int, int]]) -> list[bytes]
     texts_at, shared_at = [], []
     for i, (t, s) in enumerate(zip(text_bits, shared_bits, strict=True)):
         most = min(t, s if s is not None else t)
-        own = _own(images[i], shapes[i], most - most // OWN_PART, float(guess[i]))
+        own = _own(images[i], shapes[i], most // OWN_PART, float(guess[i]))
         if own is not None:
             streams[i] = own
         else:
