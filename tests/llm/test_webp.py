@@ -103,7 +103,7 @@ def test_stored_images_use_the_format(spark):
     texts = [r.text or "" for r in docs.orderBy("doc_id").limit(150).collect()]
     rnd = random.Random(4)
     few = [rnd.choice(["abc", "xyz", "tuv", " 1 "]) for _ in range(900)]
-    odd = ["", "".join(chr(rnd.randrange(1, 9)) for _ in range(12000)), "abc abd " * 900, "".join(few), "".join(rnd.choice("한국어의") for _ in range(4000)), "z" * (192 * 16385 - 7)]
+    odd = ["", "".join(rnd.choices(["\x01\x02\x03", "\x04\x05\x06"], k=9000)), "".join(chr(rnd.randrange(1, 9)) for _ in range(12000)), "abc abd " * 900, "".join(few), "".join(rnd.choice("한국어의") for _ in range(4000)), "z" * (192 * 16385 - 7)]
     payloads = [W.pad(t.encode()) for t in texts + odd]
     images = W.encode_payloads(payloads)
     assert W.decode_payloads(images) == payloads
