@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkweave.llm import langid, mixing, packing, shingles, substring
-from linkweave.llm.common import forget, materialize, settle, small_batches
+from linkweave.llm.common import forget, give_back, materialize, settle, small_batches
 from linkweave.llm.queries import vocabulary
 
 
@@ -22,12 +22,15 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def in_small_batches(stage: Stage) -> Stage:
     """The stage with rows going to Python in batches of a few MB: all stages share the executors, whose
-    memory has to hold what each of them leaves."""
+    memory has to hold what each of them leaves. The driver's Python, which learns the languages, gives
+    back what it freed."""
 
     @wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         small_batches(spark)
-        return stage(spark, docs, sf_dir)
+        out = stage(spark, docs, sf_dir)
+        give_back()
+        return out
 
     return run
 

@@ -13,8 +13,11 @@ shingles than such a fingerprint has bits have a wide one too, of at least a bit
 are checked before any text is moved for them.
 
 Texts with the same set are one from the start. Sets whose SimHash fingerprints are the same or link, as in
-`simhash`, are compared next; those that are alike are joined before any shingle is looked at. What SimHash
-leaves, as most copies with some words changed are further than its few bits, is found by shingles. Under a shingle of more than a few sets, every set is
+`simhash`, are compared next, and with them each set and the least one under each of its first few shingles:
+two similar sets have the same first shingle as often as they are similar. Those that are alike are joined
+before the other shingles are looked at, so copies don't meet again under each of the many that they share.
+What is left is found by all shingles of the prefixes that have sets of several components. Under a shingle of
+more than a few sets, every set is
 first compared with some centres; what that connects needs no further pairs, so a large group of
 copies costs rows linear in its members. As long as that connects many where many are still apart, it
 goes on with other centres. Then sets under one shingle that are still apart are compared, without a
@@ -39,6 +42,10 @@ WORDS = 5
 SEED = 42
 #: 64-bit words of a parity fingerprint
 PARITY = 8
+#: under so many of its first shingles a set is compared with the least set, before anything else
+LEADS = 4
+#: at most so many links are joined to groups in one task (2 longs each), more by rounds over all executors
+AT_ONCE = 1 << 18
 #: under a shingle of more sets than FEW, that many centres are first compared with all of them
 FEW, CENTRES = 16, 8
 #: with more sets apart under one shingle, and this share of them linked by the last centres, others are tried
@@ -181,9 +188,9 @@ def _within(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of fps whose texts are alike."""
-    known = _wanted(pairs, sets.select("fp", "size", "wide", "first.doc_id", "first.text_hash"))
-    x, y = (known.select(F.col("fp").alias(c), F.col("size").alias(f"{c}_size"), F.col("wide").alias(f"{c}_wide")) for c in "ab")
-    both = pairs.join(y, "b").join(x, "a").select("a", "b", "a_size", "a_wide", "b_size", "b_wide")
+    known = _wanted(pairs, sets.select("fp", "size", "parity", "wide", "first.doc_id", "first.text_hash"))
+    x, y = (known.select(F.col("fp").alias(c), F.struct("size", "parity", "wide").alias(n)) for c, n in (("a", "x"), ("b", "y")))
+    both = pairs.join(y, "b").join(x, "a").where(_close("x", "y")).select("a", "b", "x.size", "x.wide", F.col("y.size").alias("size_y"), F.col("y.wide").alias("wide_y"))
     pairs = materialize(both.mapInArrow(batched(_within), "a long, b long"), "shingle-within")
     reps = _wanted(pairs, known.select("fp", "doc_id", "text_hash"))
     forget(known)
@@ -209,41 +216,48 @@ def _id(c: Column) -> Column:
     return F.coalesce(c.cast("long"), F.lit((1 << 63) - 1))
 
 
-def simhash_links(sets: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _leads(sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each set and the least one under each of its first shingles, where sizes allow it."""
+    filed = sets.select("fp", "size", F.explode(F.slice("prefix", 1, LEADS)).alias("shingle"))
+    least = filed.groupBy("shingle").agg(F.min("fp").alias("a"), F.max("fp").alias("z"), F.min_by("size", "fp").alias("a_size")).where("a < z").drop("z")
+    met = filed.join(least, "shingle").where((F.col("fp") != F.col("a")) & (F.least("size", "a_size") * 5 >= F.greatest("size", "a_size") * 4))
+    return met.select("a", F.col("fp").alias("b"))
+
+
+def simhash_links(sets: DataFrame, docs: DataFrame, besides: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) between similar sets whose SimHash fingerprints link, and the pairs that were tried. Sets
-    of one fingerprint are compared with the least of them, and those of linked ones by their least."""
+    of one fingerprint are compared with the least of them, and those of linked ones by their least. Pairs
+    besides, a < b, are tried along with them."""
     least = sets.groupBy("sim").agg(F.min("fp").alias("least"))
     near = simhash.links(least.select(F.col("sim").alias("fp")))
     x, y = (least.select(F.col("sim").alias(c), F.col("least").alias(n)) for c, n in (("a", "x"), ("b", "y")))
     across = near.join(x, "a").join(y, "b").select("x", "y")
     within = sets.select("sim", "fp").join(least, "sim").where("fp <> least").select(F.col("least").alias("x"), F.col("fp").alias("y"))
-    pairs = across.unionByName(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    pairs = across.unionByName(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    pairs = (pairs if besides is None else pairs.unionByName(besides)).distinct()
     pairs = settle(pairs, "shingle-simhash", near)
     return _confirmed(pairs, sets, docs), pairs
 
 
 def links(sets: DataFrame, docs: DataFrame) -> DataFrame:
     """Edges (a, b) over sets.fp whose components are those of all pairs of similar sets."""
-    edges, tested = simhash_links(sets, docs)
+    edges, tested = simhash_links(sets, docs, _leads(sets))
     filed = sets.select("fp", "size", F.posexplode("prefix").alias("at", "shingle"))
     low = F.col("at") <= F.col("size") - F.ceil(F.col("size") * 8 / 9)
     # most shingles are one set's: they are counted by themselves, so that little moves for them
     several = filed.groupBy("shingle").agg(F.count("*").alias("n"), F.max(low).alias("low")).where("n > 1 and low").select("shingle", "n")
     several = materialize(several, "shingle-several")
-    blocks = settle(filed.join(several, "shingle"), "shingle-blocks", several)
-    met = blocks.withColumn("low", low)
-    parity_of = sets.select("fp", "size", "parity")
+    blocks = filed.join(several, "shingle").select("shingle", "n", low.alias("low"), F.struct("size", "fp", "at").alias("l"), F.col("fp").alias("label"))
+    now = _still_apart(settle(blocks, "shingle-blocks", several), edges)
 
     # under a shingle of a few sets, these are compared at once
-    few = met.where(F.col("n") <= FEW).select("shingle", "low", F.struct("size", "fp", "at").alias("l"))
-    few_pairs = _ordered_pairs(few.where("low").select("shingle", F.col("l").alias("s")).join(few.drop("low"), "shingle").where(_smaller("s", "l") & _may("s", "l")))
-    x, y = (parity_of.select(F.col("fp").alias(c), F.struct("size", "parity").alias(n)) for c, n in (("a", "x"), ("b", "y")))
-    few_pairs = materialize(few_pairs.join(x, "a").join(y, "b").where(_close("x", "y")).select("a", "b").join(tested, ["a", "b"], "left_anti"), "shingle-few")
-
-    many = met.where(F.col("n") > FEW).select("shingle", "low", "fp", "at").join(parity_of, "fp")
-    now = materialize(many.select("shingle", "low", F.struct("size", "fp", "at", "parity").alias("l"), F.col("fp").alias("label")), "shingle-apart")
-    forget(blocks)
-    now = _still_apart(now, edges)
+    few = now.where(F.col("n") <= FEW).select("shingle", "low", "l", "label")
+    small = few.where("low").select("shingle", F.col("l").alias("s"), F.col("label").alias("own"))
+    few_pairs = _ordered_pairs(small.join(few.drop("low"), "shingle").where((F.col("own") != F.col("label")) & _smaller("s", "l") & _may("s", "l")))
+    few_pairs = materialize(few_pairs.join(tested, ["a", "b"], "left_anti"), "shingle-few")
+
+    many = now.where(F.col("n") > FEW).withColumn("fp", F.col("l.fp")).join(sets.select("fp", "parity"), "fp")
+    now = settle(many.select("shingle", "n", "low", F.struct("l.size", "l.fp", "l.at", "parity").alias("l"), "label"), "shingle-apart", now)
     turn = 0
     while True:
         found, tried = _around_centres(now, few_pairs if not turn else None, tested, sets, docs, turn)
@@ -278,9 +292,9 @@ def _around_centres(now: DataFrame, besides: DataFrame | None, tested: DataFrame
 
 def _still_apart(now: DataFrame, edges: DataFrame) -> DataFrame:
     """The sets under shingles that have several components, with their components' labels."""
-    joined = connected(edges)
+    joined = connected(edges, at_once=AT_ONCE)
     label = joined.select(F.col("node").alias("fp"), F.col("label").alias("new"))
-    split = now.withColumn("fp", F.col("l.fp")).join(label, "fp", "left").select("shingle", "low", "l", F.coalesce("new", "fp").alias("label"))
+    split = now.withColumn("fp", F.col("l.fp")).join(label, "fp", "left").select("shingle", "n", "low", "l", F.coalesce("new", "fp").alias("label"))
     split = settle(split, "shingle-labels", now, joined)
     mixed = materialize(split.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("z")).where("x < z").select("shingle"), "shingle-mixed")
     return settle(split.join(mixed, "shingle"), "shingle-apart", split, mixed)
@@ -298,7 +312,7 @@ def groups(docs: DataFrame) -> DataFrame:
     sets = materialize(one, "shingle-sets")
     rows = settle(filed.select("doc_id", "text_hash", "fp"), "shingle-rows", filed)  # without the prefixes
     edges = links(sets, docs)
-    joined = connected(edges)
+    joined = connected(edges, at_once=AT_ONCE)
     labelled = sets.select("fp", "first").join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     labelled = settle(labelled, "shingle-groups", edges, sets, joined)
     heads = materialize(labelled.groupBy("label").agg(F.min("first").alias("head")), "shingle-heads")

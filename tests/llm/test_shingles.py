@@ -4,7 +4,7 @@ import random
 
 import corpus_pipeline
 import numpy as np
-from linkweave.llm import shingles
+from linkweave.llm import components, shingles
 from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -149,3 +149,40 @@ def test_simhash_links_come_first(spark):
     assert tried.count() == 3 and (3 not in {of[f][0] for r in found.collect() for f in (r.a, r.b)})
     want = shingles.groups(docs).collect()
     assert {r.doc_id: r["head"].doc_id for r in want}[2] == 1
+
+
+def test_copies_meet_under_few_shingles(spark, monkeypatch):
+    """A group of near copies is joined under its sets' first shingles, not once more under each that they share,
+    and its links are joined to groups without rounds."""
+    rnd = random.Random(14)
+    base, rows = [f"w{i}" for i in range(200)], []
+    for i in range(60):
+        words = list(base)
+        words[rnd.randrange(200)] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    seen, rounds = [], []
+    around, star = shingles._around_centres, components._star
+    monkeypatch.setattr(shingles, "_around_centres", lambda now, *a: seen.append(now.count()) or around(now, *a))
+    monkeypatch.setattr(components, "_star", lambda *a: rounds.append(1) or star(*a))
+    got = shingles.groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id, r["head"].doc_id) for r in got.collect()) == brute(rows) == [(i, 0) for i in range(60)]
+    assert sum(seen) < 600 and not rounds
+
+
+def test_components_in_one_task_and_by_rounds(spark):
+    rnd = random.Random(15)
+    for n, m in ((1, 0), (40, 20), (300, 250), (300, 900)):
+        pairs = [(rnd.randrange(-n, n), rnd.randrange(-n, n)) for _ in range(m)] + [(i, i + 1) for i in range(1000, 1000 + n // 10)]
+        edges = spark.createDataFrame(pairs, "a long, b long").repartition(3)
+        once = sorted(map(tuple, components.connected(edges, at_once=10**6).collect()))
+        assert once == sorted(map(tuple, components.connected(edges).collect())) and (once or not m)
+        assert once == sorted(map(tuple, components.connected(edges, at_once=1).collect()))
+
+
+def test_links_by_rounds_make_no_difference(spark, monkeypatch):
+    """More links than go to one task, and no first shingles, give the same groups."""
+    rows = [(500 - i, t) for i, t in enumerate(texts())]
+    monkeypatch.setattr(shingles, "AT_ONCE", 1)
+    monkeypatch.setattr(shingles, "LEADS", 0)
+    got = shingles.groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id, r["head"].doc_id) for r in got.collect()) == brute(rows)
