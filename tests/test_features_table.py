@@ -1,6 +1,8 @@
 """The learners' table: written once, labelled as by the whole truth."""
 
 import os
+import subprocess
+import sys
 
 from linkweave.operators import blocking as B
 from linkweave.operators import features as FT
@@ -30,3 +32,23 @@ def test_learners_read_a_written_table(spark, monkeypatch):
     assert Q.feature_importance(spark, SF).count() == len(FT.FEATURES)
     assert passes and all("documents.parquet" not in f for p in passes for f in p)
     assert set(os.listdir(folder)) == before
+
+
+FRESH = """
+from pyspark.sql import SparkSession
+from linkweave.operators import blocking as B
+from linkweave.plans import queries as Q
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+made = [B.prepare(e).select(*B.PREPARED) for e in Q._sides(spark, "{sf}")]
+threads = spark._jvm.java.lang.management.ManagementFactory.getThreadMXBean()
+before = threads.getCurrentThreadAllocatedBytes()
+for df in made:
+    df._jdf.queryExecution().optimizedPlan()
+print("MB", (threads.getCurrentThreadAllocatedBytes() - before) // 2**20)
+"""
+
+
+def test_planning_leaves_the_drivers_heap_small():
+    """In a driver of its own, as what made the garbage is loaded once: 3.4 GB before."""
+    out = subprocess.run([sys.executable, "-c", FRESH.format(sf=SF)], cwd=os.path.dirname(os.path.dirname(__file__)), capture_output=True, text=True, timeout=120)
+    assert int(out.stdout.rpartition("MB")[2]) < 500, out.stderr[-500:]
